@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import compression_quality, html_blocks, secret_grammar, token_counts, token_files
+from vellum.llm import compression_quality, fingerprints, html_blocks, secret_grammar, spaced_seeds, token_counts, token_files
 from vellum.session import table
 
 #: Folder of the tokenizer files; None: the installed public_tokenizers package.
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -35,15 +39,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_html": op2_html,
     "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
