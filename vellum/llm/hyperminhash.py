@@ -27,8 +27,8 @@ from vellum.llm.common import broadcast_below, by_batch, drop_folder, stored
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: An estimate may fall short of the threshold by so much (five standard errors) before a pair goes unconfirmed.
 SLACK = 0.18
-#: A bucket's remaining pairs are tested one by one once there are at most so many a class in all.
-PAIRS_A_CLASS = 4
+#: After the first round, the remaining pairs of all buckets are tested one by one once there are at most so many a class (each band counts).
+PAIRS_A_CLASS = 64
 MOST_ROUNDS = 12
 MOST_BROADCAST = 1_000_000
 
@@ -178,14 +178,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        step = stored(step, "labels")
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = stored(step.join(jump, "root", "left").select("node", "old", F.coalesce("next", "root").alias("root")), "labels")
-        done = new.where(F.col("root") != F.col("old")).isEmpty()
-        for old in (labels, step):
-            drop_folder(old.sparkSession, old.vellum_path)
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = stored(step.join(jump, "root", "left").select("node", "old", F.least("root", "next").alias("root")), "labels")
+        drop_folder(labels.sparkSession, labels.vellum_path)
         labels = new
-        if done:
+        if labels.where(F.col("root") != F.col("old")).isEmpty():
             return labels.select("node", "root")
 
 
@@ -198,16 +195,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
     degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
     members = stored(shared.select("band", "value", "rep").join(degree, "rep"), "members")
     n_classes = max(1, members.select("rep").distinct().count())
-    found = spark.createDataFrame([], "a long, b long")
-    joined = members.select("rep", F.col("rep").alias("root")).distinct()
-    tested = spark.createDataFrame([], "a long, b long")
+    nothing = spark.createDataFrame([], "a long, b long")
+    found, tested, joined = nothing, nothing, members.select("rep", F.col("rep").alias("root")).distinct()
     for step in range(MOST_ROUNDS + 1):
-        # Parts of buckets that confirmed links don't join yet: a bucket's classes, by component.
+        # A bucket's classes by component; buckets that confirmed links don't make one part yet are open.
         at = members.join(joined, "rep")
         parts = at.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", -F.col("rep"))).alias("top"))
         open_ = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("top", "root")).alias("best"))
         open_ = stored(open_.where(F.col("parts") > 1).select("band", "value", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), (-F.col("best.top.col2")).alias("centre"), F.col("best.root").alias("centre_root")), "open")
         left = open_.agg(F.sum("pairs")).first()[0] or 0
+        if not left:
+            break
         last = step == MOST_ROUNDS or (step > 0 and left <= PAIRS_A_CLASS * n_classes)
         if last:
             each = at.join(open_.select("band", "value"), ["band", "value"])
@@ -216,17 +214,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
         else:
             pairs = at.join(open_, ["band", "value"]).where(F.col("root") != F.col("centre_root")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            likely = stored(_likely(pairs, classes, least), "likely")
-            found = stored(found.union(_confirmed(likely, docs, classes, size, per_cent)), "links")
-            joined = _roots(members, found)
-        tested = stored(tested.union(pairs), "tested")
-        if not last:
-            # A class that wasn't linked to this round's centre gets another one next round: centres that are done step back.
-            spent = open_.select("band", "value", F.col("centre").alias("rep")).withColumn("spent", F.lit(True))
-            members = stored(members.join(spent, ["band", "value", "rep"], "left").select("band", "value", "rep", F.when(F.col("spent"), F.lit(0).cast("long")).otherwise(F.col("degree")).alias("degree")), "members")
-        if last or left == 0:
+        likely = stored(_likely(pairs, classes, least), "likely")
+        found = found.union(stored(_confirmed(likely, docs, classes, size, per_cent), "links"))
+        if last:
             break
+        tested = tested.union(pairs)
+        joined = _roots(members, found)
+        # A class that wasn't linked to this round's centre gets another one next round: centres that are done step back.
+        spent = open_.select("band", "value", F.col("centre").alias("rep")).withColumn("spent", F.lit(True))
+        members = members.join(spent, ["band", "value", "rep"], "left").select("band", "value", "rep", F.when(F.col("spent"), F.lit(0).cast("long")).otherwise(F.col("degree")).alias("degree"))
+        if step % 3 == 2:
+            members = stored(members, "members")
     return components(found) if not found.isEmpty() else spark.createDataFrame([], "node long, root long")
 
 

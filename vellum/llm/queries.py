@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import compression_quality, fingerprints, html_blocks, secret_grammar, spaced_seeds, token_counts, token_files
+from vellum.llm import compression_quality, fingerprints, html_blocks, hyperminhash, secret_grammar, spaced_seeds, token_counts, token_files
 from vellum.session import table
 
 #: Folder of the tokenizer files; None: the installed public_tokenizers package.
@@ -39,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, per_cent=80)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
