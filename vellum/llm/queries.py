@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import compression_quality, fingerprints, html_blocks, hyperminhash, secret_grammar, spaced_seeds, token_counts, token_files
+from vellum.llm import compression_quality, fingerprints, html_blocks, hyperminhash, lattice_sampling, prefix_free_parsing, secret_grammar, spaced_seeds, token_counts, token_files
 from vellum.session import table
 
 #: Folder of the tokenizer files; None: the installed public_tokenizers package.
@@ -35,6 +35,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_sampling.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free_parsing.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -56,6 +64,8 @@ QUERIES = {
     "op2_html": op2_html,
     "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_repeats": op6_repeats,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,

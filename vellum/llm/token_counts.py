@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from vellum.llm.common import by_batch
-from vellum.llm.word_table import SPACES, UNEVEN, WordTable, byte_letters, filled, split_blanks, sums
+from vellum.llm.word_table import MARKS, SPACES, UNEVEN, WordTable, byte_letters, filled, split_blanks, sums
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -40,7 +40,7 @@ class Library:
             self.many = lambda texts: self.model.encode(texts, num_threads=1)
             self.starts = self._piece_starts
             #: This library puts a blank before a text by itself.
-            self.lead, self.letters = "", None
+            self.lead, self.letters, self.marks = "", None, ""
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -50,7 +50,7 @@ class Library:
             self.model.no_padding()
             self.many = lambda texts: [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
             self.starts = lambda text: [a for a, _ in self.model.encode(text, add_special_tokens=False).offsets]
-            self.lead, shown, model = " ", byte_letters(), self.model.model
+            self.lead, self.marks, shown, model = " ", MARKS, byte_letters(), self.model.model
             self.letters = lambda word: [t.id for t in model.tokenize(word if word.isascii() and word.isalpha() else "".join(shown[b] for b in word.encode()))]
 
     def _piece_starts(self, text: str) -> list[int]:
@@ -85,8 +85,8 @@ def resynchronised(text: str, starts: Callable[[str], list[int]], chunk: int = C
 class Counter:
     def __init__(self, path: str, chunk: int, overlap: int):
         self.library, self.chunk, self.overlap = Library(path), chunk, overlap
-        self.first = WordTable(self.library.many, encode_letters=self.library.letters)
-        self.rest = WordTable(self.library.many, self.library.lead, encode_letters=self.library.letters)
+        self.first = WordTable(self.library.many, encode_letters=self.library.letters, marks=self.library.marks)
+        self.rest = WordTable(self.library.many, self.library.lead, encode_letters=self.library.letters, marks=self.library.marks)
 
     def _even(self, texts: pa.Array, begins: np.ndarray) -> np.ndarray:
         """Of texts that aren't uneven; begins: where the first piece has no blank before it."""

@@ -40,8 +40,8 @@ class WordTable:
     marks, so the library sees words without their punctuation. encode_letters, if given, encodes lead and a word of
     letters by the library's model itself, past its splitting; fold maps letters to others with the same ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], lead: str = "", fold: Callable[[str], str] = str, encode_letters: Callable[[str], list[int]] | None = None):
-        self.encode_many, self.lead, self.fold, self.encode_letters = encode_many, lead, fold, encode_letters
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], lead: str = "", fold: Callable[[str], str] = str, encode_letters: Callable[[str], list[int]] | None = None, marks: str = MARKS):
+        self.encode_many, self.lead, self.fold, self.encode_letters, self.marks = encode_many, lead, fold, encode_letters, marks
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -59,7 +59,7 @@ class WordTable:
     def get(self, words: list[str]) -> list[bytes]:
         parts = []
         for w in words:
-            core = w.rstrip(MARKS)
+            core = w.rstrip(self.marks) if self.marks else w
             parts.append((self.fold(core), w[len(core) :]) if core.isalpha() else (w, ""))
         words_known, tails = self.words, self.tails
         if new := list({c for c, _ in parts if c not in words_known}):
