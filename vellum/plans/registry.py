@@ -142,7 +142,7 @@ def field_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.selected(_tree(spark, sf_dir), ["ASIA", "EUROPE.FRANCE"], exclude=True)
 
 
-@query("""SELECT * FROM (VALUES ('Chapter', 'Sect'), ('Body', 'P'), ('Odd', NULL), ('A', 'P'), ('B', 'P'), ('P', NULL), ('Lost', NULL)) t(type, role)""")
+@query("""SELECT * FROM (VALUES ('Chapter', 'Sect'), ('Body', 'P'), ('Odd', NULL), ('A', 'P'), ('B', 'P'), ('P', 'P'), ('Lost', NULL)) t(type, role)""")
 def role_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRA-01: chains, one that ends in no standard type, a cycle with a standard type and one without."""
     rows = [("Chapter", "Part2"), ("Part2", "Sect"), ("Body", "Text"), ("Text", "P"), ("Odd", "Unknown"), ("A", "B"), ("B", "P"), ("P", "A"), ("Lost", "Found"), ("Found", "Lost")]
