@@ -164,21 +164,24 @@ def _packed(texts: DataFrame, parts: int) -> DataFrame:
     return by_batch(texts, run, "part int, settled boolean, docs binary, entries binary")
 
 
-def _by_doc(ids: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[tuple]:
-    """(doc_id, kind, keys of 6 bytes) rows."""
-    order = np.argsort(ids, kind="stable")
-    ids, keys = ids[order], keys[order]
-    cuts = np.flatnonzero(np.diff(ids)) + 1
+def _by_bucket(ids: np.ndarray, keys: np.ndarray, kind: int, parts: int) -> Iterator[tuple]:
+    """(bucket, kind, doc_ids, keys of 6 bytes) rows, one to a bucket of doc_ids."""
+    bucket = ((ids.astype(np.uint64) * _C[0]) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(bucket, kind="stable")
+    ids, keys, bucket = ids[order], keys[order], bucket[order]
+    cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
     raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]) if len(ids) else ():
-        yield int(ids[low]), kind, raw[low:high].tobytes()
+    for low, high in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
+        yield int(bucket[low]), kind, ids[low:high].astype("<i8").tobytes(), raw[low:high].tobytes()
 
 
 OLD, WANTED = 0, 1
 
 
 def _answers(packed: DataFrame, parts: int) -> DataFrame:
-    """doc_id, kind, keys: which phrases of a document are OLD, and which are WANTED for the dictionary's suffixes."""
+    """doc_id, old, wanted: the phrases of a document that are old, and those that the dictionary's suffixes are wanted of; null
+    where there are none. The answers of a part are sorted into buckets of documents, a row each, and a bucket's answers
+    make one row a document, so rows don't multiply with the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, settled = [], []
@@ -193,7 +196,7 @@ def _answers(packed: DataFrame, parts: int) -> DataFrame:
                     asked.append((ids, own, e["a0"].astype(np.uint64) | e["a1"].astype(np.uint64) << np.uint64(32)))
         out: list[tuple] = []
         if settled:
-            out += _by_doc(*(np.concatenate(c) for c in zip(*settled)), OLD)
+            out += _by_bucket(*(np.concatenate(c) for c in zip(*settled)), OLD, parts)
         if asked:
             ids, own, trigger = (np.concatenate(c) for c in zip(*asked))
             order = np.lexsort((ids, own, trigger))
@@ -204,17 +207,35 @@ def _answers(packed: DataFrame, parts: int) -> DataFrame:
             new[1:] = new_trigger[1:] | (own[1:] != own[:-1])
             first = np.flatnonzero(new)
             least = np.repeat(ids[first], np.diff([*first, n]))
-            out += _by_doc(ids[ids > least], own[ids > least], OLD)
+            out += _by_bucket(ids[ids > least], own[ids > least], OLD, parts)
             # Distinct phrases of one trigger, unless one document has them all.
             f_ids, f_own, start = ids[first], own[first], np.flatnonzero(new_trigger[first])
             size = np.diff([*start, len(first)])
             several = np.repeat(np.minimum.reduceat(f_ids, start) < np.maximum.reduceat(f_ids, start), size)
-            out += _by_doc(f_ids[several], f_own[several], WANTED)
+            out += _by_bucket(f_ids[several], f_own[several], WANTED, parts)
         if out:
-            a, b, c = zip(*out)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int8()), pa.array(c, pa.large_binary())], ["doc_id", "kind", "keys"])
+            cols = list(zip(*out))
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.large_binary()), pa.array(cols[3], pa.large_binary())], ["bucket", "kind", "docs", "keys"])
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "doc_id long, kind byte, keys binary")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list, list]] = [([], []), ([], [])]
+        for batch in batches:
+            for kind, docs, keys in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                held[kind][0].append(docs)
+                held[kind][1].append(keys)
+        of: dict[int, list] = {}
+        for kind, (docs, keys) in enumerate(held):
+            ids = np.frombuffer(b"".join(docs), dtype="<i8")
+            order = np.argsort(ids, kind="stable")
+            ids, raw = ids[order], np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, 6)[order]
+            cuts = (np.flatnonzero(np.diff(ids)) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
+                of.setdefault(int(ids[low]), [None, None])[kind] = raw[low:high].tobytes()
+        if of:
+            yield pa.record_batch([pa.array(list(of), pa.int64()), pa.array([x[OLD] for x in of.values()], pa.large_binary()), pa.array([x[WANTED] for x in of.values()], pa.large_binary())], ["doc_id", "old", "wanted"])
+
+    answers = packed.repartitionById(parts, "part").mapInArrow(run, "bucket int, kind byte, docs binary, keys binary")
+    return answers.repartitionById(parts, "bucket").mapInArrow(unpack, "doc_id long, old binary, wanted binary")
 
 
 def _keys(raw: list[bytes]) -> np.ndarray:
@@ -226,7 +247,7 @@ def _keys(raw: list[bytes]) -> np.ndarray:
 
 def _fetched(texts: DataFrame, answers: DataFrame) -> DataFrame:
     """trigger, key, doc_id, phrase: the phrases that are WANTED, once each."""
-    wanted = answers.where(F.col("kind") == WANTED).groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    wanted = answers.where(F.col("wanted").isNotNull()).select("doc_id", F.col("wanted").alias("keys"))
     both = texts.join(broadcast_below(wanted, MOST_FETCHED), "doc_id").select("doc_id", "text", "keys")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -236,7 +257,7 @@ def _fetched(texts: DataFrame, answers: DataFrame) -> DataFrame:
         rows = {}
         for i, keys in enumerate(batch.column(2).to_pylist()):
             low, high = cuts[i], cuts[i + 1]
-            for k in (np.flatnonzero(np.isin(own[low:high], _keys(keys))) + low).tolist():
+            for k in (np.flatnonzero(np.isin(own[low:high], _keys([keys]))) + low).tolist():
                 rows.setdefault((int(trigger[k]), int(own[k]), ids[i]), raw[i][a[k] : b[k] + WIDTH])
         cols = [[k[j] for k in rows] for j in range(3)]
         return pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), pa.array(list(rows.values()), pa.large_binary())], ["trigger", "key", "doc_id", "phrase"])
@@ -330,7 +351,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = texts.where(F.col("doc_id").isNotNull())
     answers = stored(_answers(_packed(known, parts), parts), "phrases")
     strings = stored(_old_strings(_fetched(known, answers)), "strings")
-    old = answers.where(F.col("kind") == OLD).groupBy("doc_id").agg(F.collect_list("keys").alias("old"))
+    old = answers.where(F.col("old").isNotNull()).select("doc_id", "old")
     some = strings.groupBy("doc_id").agg(F.collect_list(F.struct("key", "starts")).alias("strings"))
     found = old.join(some, "doc_id", "full").select(F.col("doc_id").alias("of"), "old", "strings")
     both = texts.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "old", "strings")
@@ -346,7 +367,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             by_key: dict[int, bytes] = {}
             for x in parts_of[i] or ():
                 by_key[x["key"]] = by_key.get(x["key"], b"") + x["starts"]
-            mask = removed_mask(raw[i], (a[low:high], b[low:high], own[low:high]), _keys(olds[i] or []), by_key)
+            mask = removed_mask(raw[i], (a[low:high], b[low:high], own[low:high]), _keys([olds[i]] if olds[i] else []), by_key)
             n_removed[i] = int(mask.sum())
             n_spans[i] = int((np.diff(np.concatenate([[False], mask]).astype(np.int8)) > 0).sum())
             digests[i] = hashlib.sha256(np.frombuffer(raw[i], dtype=np.uint8)[~mask].tobytes()).hexdigest()
