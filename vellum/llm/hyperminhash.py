@@ -1,17 +1,18 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 A document's set is its distinct word shingles. Documents with equal sets are one class at once. Each class has REGISTERS
-minima; a register keeps a minimum's count of leading zeros (6 bits) and the MANTISSA bits that follow, 16 bits instead of
-64. BANDS bands of registers are compared; classes that agree in a whole band share a bucket. A pair of a bucket is a
+minima of 32 bits; a register keeps a minimum's count of leading zeros and the MANTISSA bits that follow, in 16 bits.
+BANDS bands of registers are compared; classes that agree in a whole band share a bucket. A pair of a bucket is a
 candidate; the share of equal registers, corrected for collisions of compressed minima (their chance follows from both
 set sizes), estimates the Jaccard similarity, and pairs far below the threshold go. The others are confirmed on the full
 sets. At a similarity of 0.8 a pair shares no bucket with a chance of 5e-8.
 
-Buckets never emit all their pairs. Each round, a bucket links all its classes to one centre: the one whose buckets hold
-the most classes, which in a group of near copies is the text they were made from. Classes that the confirmed links join
-need no further comparison in the bucket. Rounds go on with centres from the parts that are left over; when few pairs of
-different parts remain untested, those are tested one by one, so no link between parts is lost. Components come from
-rounds of label exchange and pointer jumping over stored tables; nothing is collected.
+Each round, a bucket links all its classes to one centre: the one whose buckets hold the most classes, which in a group of
+near copies is the text they were made from. Classes that the confirmed links join need no further comparison in the
+bucket. Rounds go on with centres from the parts that are left over. When few pairs of different parts remain, or a round
+found no link, the pairs left are tested one by one, so no link between parts is lost. In a bucket that holds a large
+component and many classes without a link to it, these pairs grow with the product of both: an open weakness. Components
+come from rounds of label exchange and pointer jumping over stored tables; nothing is collected.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ from vellum.llm.common import broadcast_below, by_batch, drop_folder, stored
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: An estimate may fall short of the threshold by so much (five standard errors) before a pair goes unconfirmed.
 SLACK = 0.18
-#: After the first round, the remaining pairs of all buckets are tested one by one once there are at most so many a class (each band counts).
+#: After the first round, the remaining pairs of all buckets are tested one by one once there are at most so many a class (each
+#: band counts), or a round found no link.
 PAIRS_A_CLASS = 64
 MOST_ROUNDS = 12
 MOST_BROADCAST = 1_000_000
 
-_MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = np.random.default_rng(20240608).integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADDENDS = np.random.default_rng(20240608).integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+#: Hashes whose products with all multipliers stay in a core's cache.
+_BLOCK = 256
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -55,32 +59,34 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def registers(values: np.ndarray) -> np.ndarray:
-    """REGISTERS 16-bit registers of a set of hashes."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(values), 2048):
-        x = values[at : at + 2048, None] * _MULTIPLIERS + _ADDENDS
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        low = np.minimum(low, x.min(axis=0))
-    return compressed(low)
+def minima(values: np.ndarray) -> np.ndarray:
+    """REGISTERS minima of a set of hashes: of the upper 32 bits, each register under a permutation of its own."""
+    low = np.full(REGISTERS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    upper = (values >> np.uint64(32)).astype(np.uint32)[:, None]
+    block = np.empty((_BLOCK, REGISTERS), dtype=np.uint32)
+    for at in range(0, len(upper), _BLOCK):
+        part = upper[at : at + _BLOCK]
+        x = np.multiply(part, _MULTIPLIERS, out=block[: len(part)])
+        x += _ADDENDS
+        np.minimum(low, x.min(axis=0), out=low)
+    return low
 
 
 def compressed(minima: np.ndarray) -> np.ndarray:
-    """Leading zeros (62 at most) above MANTISSA bits behind the leading one."""
-    rest, zeros = minima.copy(), np.zeros(len(minima), dtype=np.uint64)
-    for step in (32, 16, 8, 4, 2, 1):
-        small = rest < np.uint64(1) << np.uint64(64 - step)
-        zeros[small] += np.uint64(step)
-        rest[small] <<= np.uint64(step)
-    mantissa = (rest << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    return ((np.minimum(zeros, np.uint64(62)) << np.uint64(MANTISSA)) | mantissa).astype("<u2")
+    """16-bit registers of any array of minima: leading zeros (31 at most) above MANTISSA bits behind the leading one."""
+    rest, zeros = minima.copy(), np.zeros(minima.shape, dtype=np.uint32)
+    for step in (16, 8, 4, 2, 1):
+        small = rest < np.uint32(1 << (32 - step))
+        zeros[small] += np.uint32(step)
+        rest[small] <<= np.uint32(step)
+    mantissa = (rest << np.uint32(1)) >> np.uint32(32 - MANTISSA)
+    return ((zeros << np.uint32(MANTISSA)) | mantissa).astype("<u2")
 
 
 def collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Chance that registers of unrelated sets of n and m hashes agree: over all counts of leading zeros, both minima have
     that count, and the same mantissa."""
-    k = np.arange(63)
+    k = np.arange(32)
     cell = lambda s: np.exp(-s[:, None] * 2.0 ** -(k + 1)) - np.exp(-s[:, None] * 2.0**-k)
     return (cell(n) * cell(m)).sum(1) * 2.0**-MANTISSA
 
@@ -99,14 +105,16 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, sig1, sig2, regs: a row to each row of docs."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, one, two, regs = [], [], [], []
+        n, one, two, lows = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, size)
             d = xxhash.xxh3_128_intdigest(s.tobytes())
             n.append(len(s))
             one.append(_signed(d >> 64))
             two.append(_signed(d & (1 << 64) - 1))
-            regs.append(registers(s).tobytes() if len(s) else None)
+            lows.append(minima(s))
+        packed = compressed(np.array(lows).reshape(-1, REGISTERS))
+        regs = [r.tobytes() if k else None for r, k in zip(packed, n, strict=True)]
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.large_binary())], ["doc_id", "n_shingles", "sig1", "sig2", "regs"])
 
     return by_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, sig1 long, sig2 long, regs binary")
@@ -137,8 +145,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return by_batch(both.select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, size: int, name: str) -> DataFrame:
-    """name, set: the sets of the classes in needed (rep, sig1, sig2), from the row that the class is named after."""
+def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """rep, set: the sets of the classes in needed (rep, sig1, sig2), from the row that the class is named after."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
@@ -150,14 +158,15 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int, name: str) -> DataFrame
         return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.large_binary())], ["rep", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(needed, "rep").select("rep", "text", "sig1", "sig2")
-    return by_batch(texts, run, "rep long, set binary").select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
+    return by_batch(texts, run, "rep long, set binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= per_cent * union of the full sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     needed = broadcast_below(classes.select("rep", "sig1", "sig2").join(ids, "rep", "left_semi"), MOST_BROADCAST)
-    both = pairs.join(_sets(docs, needed, size, "a"), "a").join(_sets(docs, needed, size, "b"), "b")
+    sets = stored(_sets(docs, needed, size), "sets")  # both sides of a pair read them, so texts are hashed once
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -191,11 +200,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
     spark, least = docs.sparkSession, per_cent / 100
     bands = stored(_bands(classes), "bands")
     counts = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = bands.join(counts, ["band", "value"])
+    # Few buckets hold several classes: where they can be broadcast, the bands aren't shuffled again.
+    shared = bands.join(broadcast_below(stored(counts, "counts"), MOST_BROADCAST), ["band", "value"])
     degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
     members = stored(shared.select("band", "value", "rep").join(degree, "rep"), "members")
     n_classes = max(1, members.select("rep").distinct().count())
     nothing = spark.createDataFrame([], "a long, b long")
+    roots, last, grown = spark.createDataFrame([], "node long, root long"), False, False
     found, tested, joined = nothing, nothing, members.select("rep", F.col("rep").alias("root")).distinct()
     for step in range(MOST_ROUNDS + 1):
         # A bucket's classes by component; buckets that confirmed links don't make one part yet are open.
@@ -206,7 +217,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
         left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = step == MOST_ROUNDS or (step > 0 and left <= PAIRS_A_CLASS * n_classes)
+        last = step == MOST_ROUNDS or (step > 0 and (not grown or left <= PAIRS_A_CLASS * n_classes))
         if last:
             each = at.join(open_.select("band", "value"), ["band", "value"])
             other = each.select("band", "value", F.col("rep").alias("b"), F.col("root").alias("root_b"))
@@ -215,25 +226,27 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
             pairs = at.join(open_, ["band", "value"]).where(F.col("root") != F.col("centre_root")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         likely = stored(_likely(pairs, classes, least), "likely")
-        found = found.union(stored(_confirmed(likely, docs, classes, size, per_cent), "links"))
+        new = stored(_confirmed(likely, docs, classes, size, per_cent), "links")
+        if grown := not new.isEmpty():
+            found = found.union(new)
         if last:
             break
         tested = tested.union(pairs)
-        joined = _roots(members, found)
+        if grown:  # else the components are those of the round before
+            roots = components(found)
+            joined = _joined(members, roots)
         # A class that wasn't linked to this round's centre gets another one next round: centres that are done step back.
         spent = open_.select("band", "value", F.col("centre").alias("rep")).withColumn("spent", F.lit(True))
         members = members.join(spent, ["band", "value", "rep"], "left").select("band", "value", "rep", F.when(F.col("spent"), F.lit(0).cast("long")).otherwise(F.col("degree")).alias("degree"))
         if step % 3 == 2:
             members = stored(members, "members")
-    return components(found) if not found.isEmpty() else spark.createDataFrame([], "node long, root long")
+    return components(found) if last and grown else roots
 
 
-def _roots(members: DataFrame, found: DataFrame) -> DataFrame:
+def _joined(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """rep, root of all classes that share buckets."""
     every = members.select("rep").distinct()
-    if found.isEmpty():
-        return every.withColumn("root", F.col("rep"))
-    roots = components(found).select(F.col("node").alias("rep"), "root")
-    return stored(every.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")), "roots")
+    return stored(every.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, size: int, per_cent: int = 80) -> DataFrame:
@@ -245,13 +258,12 @@ def near_duplicates(docs: DataFrame, size: int, per_cent: int = 80) -> DataFrame
     empty one."""
     rows = stored(_sketches(docs, size), "sketches")
     sets = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    by_set = sets.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"))
-    of_rep = sets.select(F.col("doc_id").alias("rep"), "sig1", "sig2", "n_shingles", "regs")
     # One row to a set: the document it is named after. A document of several rows names several sets; they are one node.
-    classes = stored(by_set.join(of_rep, ["rep", "sig1", "sig2"]).dropDuplicates(["rep", "sig1", "sig2"]), "classes")
+    by_set = sets.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("low"))
+    classes = stored(by_set.select(F.col("low.doc_id").alias("rep"), "sig1", "sig2", "low.n_shingles", "low.regs"), "classes")
     roots = links(docs, classes, size, per_cent)
     # Sets that one document's rows share join those sets' components.
-    named = sets.select("doc_id", "sig1", "sig2").distinct().join(by_set, ["sig1", "sig2"]).select("doc_id", "rep")
+    named = sets.select("doc_id", "sig1", "sig2").distinct().join(classes.select("rep", "sig1", "sig2"), ["sig1", "sig2"]).select("doc_id", "rep")
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     several = named.groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1 and low < high")
     if not several.isEmpty():
