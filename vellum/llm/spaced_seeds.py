@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import broadcast_below, let, stored
+from vellum.llm.common import broadcast_below, stored
 
 #: Looked-at positions of each mask.
 MASKS = ("111010110101", "110110010111")
@@ -31,25 +31,19 @@ def tokens(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def seeds(t: Column) -> Column:
-    """Hashes through each mask in turn of all windows; none of a text with fewer than SPAN tokens."""
-
-    def through(h: Column, m: int, mask: str) -> Column:
-        at = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.xxhash64(F.lit(m), *[h[i + k] for k in at]))
-
-    def of(h: Column) -> Column:
-        each = [through(h, m, mask) for m, mask in enumerate(MASKS)]
-        return F.when(F.size(h) >= SPAN, F.concat(*each)).otherwise(F.array().cast("array<bigint>"))
-
-    return let(t, of)
+def seeds(h: Column, i: Column) -> Column:
+    """Hashes through each mask in turn of the window of tokens h that begins at i."""
+    return F.array(*[F.xxhash64(F.lit(m), *[F.get(h, i + k) for k, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)])
 
 
 def _placed(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, seed, at: a row to each window and mask; the text itself isn't copied along."""
-    df = df.select(*keys, seeds(tokens(F.col("text"))).alias("all_seeds"))
-    df = df.select(*keys, F.floor(F.size("all_seeds") / len(MASKS)).cast("int").alias("n"), F.posexplode("all_seeds").alias("pos", "seed"))
-    return df.select(*keys, "seed", (F.col("pos") % F.col("n")).alias("at"))
+    """keys, seed, at: a row to each window and mask; the text itself isn't copied along.
+
+    The windows are rows before they are hashed, so generated code hashes them; explode_outer, since a plain explode has a
+    filter on its array inferred, which would work out the tokens a second time."""
+    starts = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+    df = df.select(*keys, tokens(F.col("text")).alias("h")).select(*keys, "h", F.explode_outer(starts).alias("at"))
+    return df.where(F.col("at").isNotNull()).select(*keys, "at", F.explode_outer(seeds(F.col("h"), F.col("at"))).alias("seed"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
