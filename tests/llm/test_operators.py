@@ -110,6 +110,43 @@ def test_near_duplicates(docs, empty):
     assert hyperminhash.near_duplicates(empty, 4).count() == 0
 
 
+def test_near_duplicates_beside_a_common_passage(spark):
+    """Many texts share a passage and aren't linked by it; few pairs and one group of edited copies among them are."""
+    r = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 5000, n)]
+    passage, rows = word(100), []
+    for share in r.integers(20, 60, 60):
+        rows.append(word(int(share)) + passage)
+    for k in range(0, 60, 4):  # close to the threshold, on both sides of it
+        edited = list(rows[k])
+        for at in r.integers(0, len(edited), int(r.integers(1, 8))):
+            edited[at] = "edited"
+        rows.append(edited)
+    for _ in range(30):
+        edited = list(rows[3])
+        edited[int(r.integers(0, len(edited)))] = word(1)[0]
+        rows.append(edited)
+    sets = [{tuple(x[i : i + 4]) for i in range(len(x) - 3)} for x in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    got = by_id(hyperminhash.near_duplicates(df, 4))
+    assert [got[k]["component_id"] for k in range(len(rows))] == root
+    assert len(set(root)) not in (1, len(rows))
+    parts = spark.createDataFrame([(k, k) for k in range(len(rows))], "rep long, root long")
+    held = spark.createDataFrame([(k, bytearray(hyperminhash.shingles(" ".join(x), 4).tobytes())) for k, x in enumerate(rows)], "rep long, set binary")
+    pairs = hyperminhash._with_rare_shingle(parts, held, 80)
+    found = {(x["a"], x["b"]) for x in pairs.distinct().collect()}
+    linked = {(j, i) for i, a in enumerate(sets) for j in range(i) if 100 * len(a & sets[j]) >= 80 * len(a | sets[j])}
+    assert linked <= found and len(found) < len(rows) ** 2 / 6
+
+
 def test_repeats(docs, empty):
     first, rows = {}, [(x or "").encode() for x in texts()]
     for d, b in enumerate(rows):

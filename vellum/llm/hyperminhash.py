@@ -9,10 +9,11 @@ sets. At a similarity of 0.8 a pair shares no bucket with a chance of 5e-8.
 
 Each round, a bucket links all its classes to one centre: the one whose buckets hold the most classes, which in a group of
 near copies is the text they were made from. Classes that the confirmed links join need no further comparison in the
-bucket. Rounds go on with centres from the parts that are left over. When few pairs of different parts remain, or a round
-found no link, the pairs left are tested one by one, so no link between parts is lost. In a bucket that holds a large
-component and many classes without a link to it, these pairs grow with the product of both: an open weakness. Components
-come from rounds of label exchange and pointer jumping over stored tables; nothing is collected.
+bucket. Rounds go on with centres from the parts that are left over, until few pairs of different parts remain or a round
+makes little progress. The classes of buckets that are still open are then joined on their rarest shingles: sets of the
+asked similarity share one of those, while classes that only have a common passage in common don't meet. So no link
+between parts is lost, and no bucket is written out in pairs. Components come from rounds of label exchange and pointer
+jumping over stored tables; nothing is collected.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from vellum.llm.common import broadcast_below, by_batch, drop_folder, stored
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: An estimate may fall short of the threshold by so much (five standard errors) before a pair goes unconfirmed.
 SLACK = 0.18
-#: After the first round, the remaining pairs of all buckets are tested one by one once there are at most so many a class (each
-#: band counts), or a round found no link.
+#: After the first round, the classes of open buckets are joined on rare shingles once their buckets have at most so many pairs a
+#: class (each band counts), or once a round found no link or left more than half of the pairs.
 PAIRS_A_CLASS = 64
 MOST_ROUNDS = 12
 MOST_BROADCAST = 1_000_000
@@ -161,11 +162,38 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return by_batch(texts, run, "rep long, set binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= per_cent * union of the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _stored_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """rep, set of the classes in ids (rep), stored: texts are hashed once, however many joins read the sets."""
     needed = broadcast_below(classes.select("rep", "sig1", "sig2").join(ids, "rep", "left_semi"), MOST_BROADCAST)
-    sets = stored(_sets(docs, needed, size), "sets")  # both sides of a pair read them, so texts are hashed once
+    return stored(_sets(docs, needed, size), "sets")
+
+
+def _with_rare_shingle(parts: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of classes in parts (rep, root) that differ in root and may reach the similarity: all that do are there.
+
+    A set's shingles are ordered by the number of sets that hold them. Sets x and y of the similarity t have at least
+    t * |x| shingles in common, so one of them is among the first |x| - ceil(t * |x|) + 1 of x, and of y likewise; from the
+    first common one on, both must have enough shingles left."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = batch.column(1).to_pylist()
+        n = np.array([len(x) // 8 for x in held], dtype=np.int64)
+        return pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(held), dtype="<i8"))], ["rep", "n", "shingle"])
+
+    each = by_batch(sets.select("rep", "set"), run, "rep long, n long, shingle long", rows=64)
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = each.join(shared, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("known"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("known"))  # shingles of no other set come first
+    first = F.expr(f"cast(greatest(0, n - (n * {per_cent} + 99) div 100 + 1 - alone) as int)")
+    rare = ranked.join(parts, "rep").select("rep", "root", "n", "alone", F.posexplode(F.slice("known", F.lit(1), first)).alias("at", "known"))
+    rare = stored(rare.select("rep", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.col("known.shingle").alias("shingle")), "rare")
+    other = rare.select(F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), "shingle")
+    enough = (100 + per_cent) * F.least("rest", "rest_b") >= per_cent * (F.col("n") + F.col("m"))
+    return rare.join(other, "shingle").where((F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & enough).select(F.col("rep").alias("a"), "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= per_cent * union of the full sets."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,6 +235,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
     n_classes = max(1, members.select("rep").distinct().count())
     nothing = spark.createDataFrame([], "a long, b long")
     roots, last, grown = spark.createDataFrame([], "node long, root long"), False, False
+    before = 0
     found, tested, joined = nothing, nothing, members.select("rep", F.col("rep").alias("root")).distinct()
     for step in range(MOST_ROUNDS + 1):
         # A bucket's classes by component; buckets that confirmed links don't make one part yet are open.
@@ -217,16 +246,19 @@ def links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Data
         left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = step == MOST_ROUNDS or (step > 0 and (not grown or left <= PAIRS_A_CLASS * n_classes))
+        last = step == MOST_ROUNDS or (step > 0 and (not grown or left <= PAIRS_A_CLASS * n_classes or left > before / 2))
+        before, sets = left, None
         if last:
-            each = at.join(open_.select("band", "value"), ["band", "value"])
-            other = each.select("band", "value", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-            pairs = each.join(other, ["band", "value"]).where((F.col("root") != F.col("root_b")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b")
+            rest = stored(at.join(open_.select("band", "value"), ["band", "value"]).select("rep", "root").distinct(), "rest")
+            sets = _stored_sets(rest.select("rep"), docs, classes, size)
+            pairs = _with_rare_shingle(rest, sets, per_cent)
         else:
             pairs = at.join(open_, ["band", "value"]).where(F.col("root") != F.col("centre_root")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         likely = stored(_likely(pairs, classes, least), "likely")
-        new = stored(_confirmed(likely, docs, classes, size, per_cent), "links")
+        if sets is None:
+            sets = _stored_sets(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, classes, size)
+        new = stored(_confirmed(likely, sets, per_cent), "links")
         if grown := not new.isEmpty():
             found = found.union(new)
         if last:
