@@ -14,7 +14,7 @@ sample without replacement. The next bound is the threshold; a segmentation of l
 search), so a row's samples depend on nothing but its key and text.
 
 No piece has a blank behind another character, so no edge crosses from one word to the next; distinct words' lattices are
-built once a batch, in numpy.
+built once a chunk of a batch, in numpy.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from vellum.llm.word_table import UNEVEN, WordTable, filled, split_blanks
 
 K = 2
 ALPHA = 1e-3
+#: A lattice is built for so many bytes of texts and the text that passes them: its arrays take a few hundred bytes a character.
+CHUNK_BYTES = 3 << 19
 BLANK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -309,7 +311,9 @@ def encode(docs: DataFrame, path: str, k: int = K, with_ids: bool = False) -> Da
         texts = filled(batch.column(1))
         plain = texts.to_pylist()
         keys = [row_key(d, t) for d, t in zip(batch.column(0).to_pylist(), plain)]
-        rows = made[0].run(texts, keys)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // CHUNK_BYTES)) + 1).tolist(), len(size)]
+        rows = [row for low, high in zip(cuts, cuts[1:]) for row in made[0].run(texts.slice(low, high - low), keys[low:high])]
         cols = [
             batch.column(0), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([_crc(r[0]) for r in rows], pa.int64()), pa.array([r[1] == t for r, t in zip(rows, plain)]),
             pa.array([len(r[2]) for r in rows], pa.int32()), pa.array([[len(p) for p in r[2]] for r in rows], pa.list_(pa.int64())), pa.array([[_crc(p) for p in r[2]] for r in rows], pa.list_(pa.int64())),
