@@ -199,6 +199,19 @@ def test_quality(spark, empty):
     assert compression_quality.classify(empty, labels).count() == 0
 
 
+def test_quality_of_long_texts():
+    """A text's score doesn't drift to the score of no evidence as it grows, and its end counts like its start."""
+    r = np.random.default_rng(6)
+    kinds = {1: ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(600)], 0: ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(600)]}
+    write = lambda y, n: " ".join(r.choice(kinds[y], n))
+    model = compression_quality.fit_texts([(write(k % 2, int(r.integers(20, 500))), k % 2) for k in range(400)], 0.5)
+    for n in (100, 3000, 15000, 60000):
+        good, bad = model.score_all([write(1, n), write(0, n)])
+        assert good > 0.95 and bad < 0.05
+    mixed = model.score_all([write(1, 600) + write(0, 15000), write(0, 600) + write(1, 15000)])
+    assert mixed[0] < 0.1 and mixed[1] > 0.9
+
+
 def test_sampled_segmentations(docs):
     path = P.path("piece_bpe_32k.model")
     coder = lattice_sampling.Coder(path, 3)

@@ -5,9 +5,13 @@ once with each; the difference of the two sizes per byte says which kind of text
 fitted on other labelled texts (Platt scaling, weighted to the classes' shares among the labels) turns it into the
 probability of label 1.
 
+A dictionary helps the start of a frame only, so the difference per byte shrinks with a frame's length. A longer text is
+therefore compressed in consecutive chunks of the length that the curve was fitted on, a frame to each, and the chunks'
+differences are combined by length.
+
 Fitting uses a bounded, documented sample: at most `per_class` labelled rows of each class, the first by a hash of
 doc_id, each by its first `fit_chars` code points. Half of them (by the same hash) make the dictionaries, the others the
-curve. Scoring reads every row and its whole text. The model is two dictionaries of `dict_bytes` each and four numbers,
+curve. Scoring reads every row and its whole text. The model is two dictionaries of `dict_bytes` each and three numbers,
 so what goes to the executors has a fixed size.
 """
 
@@ -47,9 +51,11 @@ def _compressors(good: bytes, bad: bytes) -> tuple[zstandard.ZstdCompressor, zst
     return out[0], out[1]
 
 
-def difference(text: bytes, by_good: zstandard.ZstdCompressor, by_bad: zstandard.ZstdCompressor) -> float:
-    """How many bytes per byte of text the good texts' dictionary saves against the bad texts'."""
-    return (len(by_bad.compress(text)) - len(by_good.compress(text))) / (len(text) + SOFTEN)
+def difference(text: str, by_good: zstandard.ZstdCompressor, by_bad: zstandard.ZstdCompressor, chunk: int) -> float:
+    """How many bytes per byte of text the good texts' dictionary saves against the bad texts', in frames of chunk code points."""
+    frames = [text[at : at + chunk].encode("utf-8", "replace") for at in range(0, len(text), chunk)] or [b""]
+    saved = sum(len(by_bad.compress(f)) - len(by_good.compress(f)) for f in frames)
+    return saved / (sum(map(len, frames)) + SOFTEN * len(frames))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -58,10 +64,11 @@ class Model:
     bad: bytes
     slope: float
     intercept: float
+    chunk: int = FIT_CHARS
 
     def score_all(self, texts: list[str | None]) -> np.ndarray:
         by_good, by_bad = _compressors(self.good, self.bad)
-        z = np.array([difference((t or "").encode("utf-8", "replace"), by_good, by_bad) for t in texts], dtype=float)
+        z = np.array([difference(t or "", by_good, by_bad, self.chunk) for t in texts], dtype=float)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.intercept, -40, 40)))
 
 
@@ -88,23 +95,22 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICT_BYTES:]
 
 
-def fit_texts(rows: list[tuple[str, int]], share_good: float) -> Model:
-    """rows: (text, label 0 or 1) in a fixed order; without rows of both classes every text scores share_good. Lines that
+def fit_texts(rows: list[tuple[str, int]], share_good: float, fit_chars: int = FIT_CHARS) -> Model:
+    """rows: (text of fit_chars at most, label 0 or 1) in a fixed order; without rows of both classes every text scores share_good. Lines that
     several of the sampled texts share (licences, mastheads) tell nothing about either class and are left out here."""
     seen = Counter(line for t in {t for t, _ in rows} for line in {*t.split("\n")})
     plain = lambda t: "\n".join(line for line in t.split("\n") if seen[line] < SHARED)
     own = {y: list(dict.fromkeys(s for t, k in rows if k == y and (s := plain(t)))) for y in (0, 1)}
     prior = min(max(share_good, 1e-6), 1 - 1e-6)
     if min(len(own[0]), len(own[1])) < 2:
-        return Model(b"", b"", 0.0, math.log(prior / (1 - prior)))
-    raw = {y: [t.encode("utf-8", "replace") for t in own[y]] for y in own}
-    good, bad = (_dictionary(raw[y][::2]) for y in (1, 0))
+        return Model(b"", b"", 0.0, math.log(prior / (1 - prior)), fit_chars)
+    good, bad = (_dictionary([t.encode("utf-8", "replace") for t in own[y][::2]]) for y in (1, 0))
     by_good, by_bad = _compressors(good, bad)
-    z = np.array([difference(t, by_good, by_bad) for y in (1, 0) for t in raw[y][1::2]])
-    y = np.array([y for y in (1, 0) for _ in raw[y][1::2]], dtype=float)
+    z = np.array([difference(t, by_good, by_bad, fit_chars) for y in (1, 0) for t in own[y][1::2]])
+    y = np.array([y for y in (1, 0) for _ in own[y][1::2]], dtype=float)
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     w = np.where(y == 1, prior / n1, (1 - prior) / n0) * len(y)
-    return Model(good, bad, *_logistic(z, y, w))
+    return Model(good, bad, *_logistic(z, y, w), fit_chars)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -121,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fit_char
     picked = F.broadcast(parts[0].unionByName(parts[1]).distinct())  # 2 * per_class rows at most
     texts = docs.select("doc_id", F.substring("text", 1, fit_chars).alias("text")).join(picked, "doc_id")
     rows = sorted((str(r["doc_id"]), r["text"] or "", r["quality"]) for r in texts.collect())
-    return fit_texts([(t, y) for _, t, y in rows], count.get(1, 0) / max(1, sum(count.values())))
+    return fit_texts([(t, y) for _, t, y in rows], count.get(1, 0) / max(1, sum(count.values())), fit_chars)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
