@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -187,6 +188,41 @@ def test_decontamination(spark, docs, empty):
     assert spaced_seeds.clean(rows, bench).count() == 3 and spaced_seeds.report(empty, bench).count() == 0
 
 
+def test_masks_hit_every_passage():
+    for n in range(1, 24):
+        length = min(n, spaced_seeds.WINDOW)
+        wrong = length - -(-3 * length // 4) if n >= spaced_seeds.LEAST else 0
+        looked = [[k for k, c in enumerate(m) if c == "1"] for m in spaced_seeds.masks(n)]
+        for gone in itertools.combinations(range(length), wrong):
+            assert any(not {i + k for k in at} & {*gone} for at in looked for i in range(length - at[-1]))
+
+
+def test_decontamination_against_all_diagonals(spark):
+    r = np.random.default_rng(8)
+    word = lambda n, kinds=300: [f"w{x}" for x in r.integers(0, kinds, n)]
+    items = [word(int(n)) for n in [1, 2, 5, 8, 11, 12, 12, 13, 13, 14, 15, 15, 16, 17, 18, 20, 25, 30, 40]]
+    docs = [word(60, 8) for _ in range(6)] + [word(3), word(11), []]
+    for x in items:
+        docs += [x, word(20) + x, x[-12:] + word(20), word(9) + x[:12], x[:11], x[:10] + word(2)]
+        docs.append(word(7) + ["other" if k % 4 == 3 else w for k, w in enumerate(x)] + word(9))
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+            docs.append(word(int(r.integers(0, 12))) + ["other" if r.random() < share else w for w in x] + word(int(r.integers(0, 12))))
+    want = set()
+    for d, doc in enumerate(docs):
+        for k, x in enumerate(items):
+            size, least = min(16, len(x)), 1 if len(x) < 12 else 0.75
+            for at in range(-len(x) + 1, len(doc)):
+                equal = [0 <= p + at < len(doc) and doc[p + at] == w for p, w in enumerate(x)]
+                share = max(sum(equal[s : s + size]) for s in range(len(x) - size + 1)) / size
+                if share >= least:
+                    want.add((d, k, at, share))
+    rows = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, ", ".join(x)) for k, x in enumerate(items)] + [(99, ""), (98, None)], "item_id long, text string")
+    got = [(x["doc_id"], x["item_id"], x["diagonal"], x["share"]) for x in spaced_seeds.passages(rows, bench).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
+    assert spaced_seeds.clean(rows, bench.where("item_id > 90")).count() == len(docs)
+
+
 def test_quality(spark, empty):
     r = np.random.default_rng(5)
     rows = [(k, " ".join(r.choice(WORDS, 60)) if k % 2 else " ".join(w + "$$$" for w in r.choice(WORDS, 60))) for k in range(200)] + [(900, None), (901, "")]
