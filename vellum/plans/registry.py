@@ -169,6 +169,16 @@ def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.diff(older, newer, "user_id", ["event_type"])
 
 
+@query(f"""WITH o AS ({_REV.format(c="% 2 = 0")}), n AS ({_REV.format(c="% 6 <> 0")})
+    SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
+    FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.event_type IS DISTINCT FROM n.event_type OR o.user_id IS NULL OR n.user_id IS NULL""")
+def revision_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-08: two states of the users' events compared; each event is in one of them at least."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    older, newer = (lookups.newest(rows.where(c), "user_id", "event_id") for c in ("event_id % 2 = 0", "event_id % 6 <> 0"))
+    return lookups.diff(older, newer, "user_id", ["event_type"])
+
+
 @query("""WITH u AS (SELECT 0 AS part, conv_id, turn FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 1, conv_id, turn FROM conversations WHERE conv_id % 5 = 0)
     SELECT part, conv_id, turn, row_number() OVER (ORDER BY part, conv_id, turn) - 1 AS new_page FROM u""")
 def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +187,15 @@ def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.merge([c.where("conv_id % 2 = 0"), c.where("conv_id % 5 = 0")], "conv_id", "turn")
 
 
+@query("""WITH u AS (SELECT 0 AS part, conv_id, turn FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 1, conv_id, turn FROM conversations WHERE conv_id % 2 <> 0 OR conv_id % 5 = 0)
+    SELECT part, conv_id, turn, row_number() OVER (ORDER BY part, conv_id, turn) - 1 AS new_page FROM u""")
+def merged_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-01, SET-02, SET-07: two sets of conversations one behind the other, each conversation in one of them at least and
+    some in both; turns are pages."""
+    c = table(spark, sf_dir, "conversations")
+    return assembly.merge([c.where("conv_id % 2 = 0"), c.where("conv_id % 2 <> 0 or conv_id % 5 = 0")], "conv_id", "turn")
+
+
 @query("""SELECT range_no, conv_id, turn, turn - f AS new_page FROM conversations JOIN (VALUES (0, 0, 2), (1, 1, 4), (2, 3, 100)) r(range_no, f, b) ON turn >= f AND turn < b""")
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-03, SET-04: page ranges, half-open, that overlap."""
@@ -283,6 +302,16 @@ def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.points_in_boxes(points, boxes, 10.0).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
+@query("""WITH b AS (SELECT p_partkey, p_size AS l, p_size * 20 AS bo, p_size + p_partkey % 5 AS r, p_size * 20 + 25 AS t FROM part),
+    p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 10000 AS y FROM lineitem)
+    SELECT l_orderkey, l_linenumber, p_partkey FROM p JOIN b ON x BETWEEN l AND r AND y BETWEEN bo AND t""")
+def points_in_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPA-01, SPA-02: points_in_boxes over all parts and line items."""
+    boxes = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS left", "p_size * 20 AS bottom", "p_size + p_partkey % 5 AS right", "p_size * 20 + 25 AS top")
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS x", "l_discount * 10000 AS y")
+    return lookups.points_in_boxes(points, boxes, 10.0).select("l_orderkey", "l_linenumber", "p_partkey")
+
+
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
     SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(len(list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '')) AS INT) AS n_words,
     CAST(length(trim(regexp_replace(line, '{_SPACE}', ' ', 'g'))) AS INT) AS n_chars FROM l""")
