@@ -34,3 +34,8 @@ def test_revision_diff_of_all_events(run):
     got = run("revision_diff_all", events=([(k, k, "a") for k in range(12)] + [(20, 13, "a"), (20, 14, "b"), (20, 15, "b"), (21, 16, "a"), (21, 19, "b")], "user_id long, event_id long, event_type string"))
     changes = {k: "added" if k % 2 else "deleted" for k in range(12) if k % 2 or k % 6 == 0} | {21: "changed"}
     assert got == sorted(changes.items())
+
+
+def test_hex_decode_of_whole_texts(run):
+    texts = [(0, ""), (1, "é" * 199 + "end"), (2, "ab\n> \U0001f600" * 5000), (3, "x" * 201)]
+    assert run("hex_decode_all", documents=(texts, "doc_id long, text string")) == texts

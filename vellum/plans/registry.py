@@ -237,6 +237,13 @@ def hex_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.decode(T.ascii_hex(data), "UTF-8").alias("decoded"))
 
 
+@query("SELECT doc_id, text AS decoded FROM documents")
+def hex_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-01, STR-01: each whole text as hex digits with blanks among them and an end mark, decoded again."""
+    data = F.concat(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(.{16})", "$1\n "), F.lit(">ff"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.decode(T.ascii_hex(data), "UTF-8").alias("decoded"))
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Absent' WHEN page_id % 3 = 1 THEN 'Matches' ELSE 'DoesNotMatch' END AS status, strlen(html) AS size FROM pages""")
 def checksum_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HSH-01, VIW-04: pages as embedded files; the stated digest is missing, right or wrong by page_id."""
