@@ -13,13 +13,10 @@ from vellum.llm.common import stored
 from vellum.llm.queries import tokenizer
 from vellum.session import table
 
-#: Below this probability of label 1 a document goes. Under the classifier's 0.5, so that clean documents stay.
-REJECT_BELOW = 0.4
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject."""
-    return compression_quality.keep_good(docs, table(spark, sf_dir, "labels"), REJECT_BELOW)
+    return compression_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,3 +288,44 @@ def test_pipeline(spark):
         before = n
     out = C.STAGES[-1][1](spark, docs, d)
     assert out.count() == before > 100
+
+
+def test_pipeline_decisions(spark):
+    """Each stage keeps what brute force over its input keeps; quality what op10 predicts."""
+    import corpus_pipeline as C
+
+    d = "/root/testdata/sf0.001"
+    docs = C.table(spark, d, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    predicted = compression_quality.classify(docs, C.table(spark, d, "labels")).collect()
+    own = {}
+    for name, stage in C.STAGES[:-1]:
+        docs = C.stored(stage(spark, docs, d), name)
+        own[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert own["quality"].keys() == {r["doc_id"] for r in predicted if r["predicted"] == 1}
+
+    sets = {k: shingled(x, 5) for k, x in sorted(own["quality"].items())}
+    root = {k: k for k in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if x == high else x for k, x in root.items()}
+    assert own["near_dedup"].keys() == {k for k in root if root[k] == k}
+
+    words = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    places = collections.defaultdict(list)
+    items = [words(r["text"]) for r in C.table(spark, d, "benchmark").collect()]
+    for k, x in enumerate(items):
+        for p, w in enumerate(x):
+            places[w].append((k, p))
+    clean = set()
+    for key in own["near_dedup"]:
+        doc, equal = words(rows[key]), collections.defaultdict(set)
+        for at, w in enumerate(doc):
+            for k, p in places.get(w, ()):
+                equal[k, at - p].add(p)
+        share = lambda k, on, size: max(len(on & {*range(s, s + size)}) for s in range(len(items[k]) - size + 1)) / size
+        if not any(len(on) >= 0.75 * min(16, len(items[k])) and share(k, on, min(16, len(items[k]))) >= 0.75 for (k, _), on in equal.items()):
+            clean.add(key)
+    assert all(len(x) >= 12 for x in items) and own["decontaminate"].keys() == clean != own["near_dedup"].keys()
+    assert own["redact_secrets"] == {k: secret_grammar.redacted(x or "") for k, x in own["decontaminate"].items()}
