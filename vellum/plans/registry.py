@@ -44,7 +44,8 @@ def _matches(table_name: str, keys: str, needle: str) -> str:
 
 @query(_matches("documents", "doc_id, source", "eaux"))
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEA-01 to SEA-04, SEA-06: a document is a page of its source; context is 32 characters to each side, untrimmed."""
+    """SEA-01, SEA-02, SEA-04, SEA-06: a document is a page of its source; context is 32 characters to each side, untrimmed.
+    Marks are folded by a fixed list of Latin letters, not by a full decomposition."""
     return search.matches(table(spark, sf_dir, "documents"), ["doc_id", "source"], "Eaux")
 
 
@@ -132,7 +133,7 @@ _QUALIFIED = f"""WITH RECURSIVE nodes AS ({_TREE.format(s="VARCHAR")}),
 
 @query(f"{_QUALIFIED} SELECT id, depth, fqn FROM t")
 def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRA-02, GRA-03, GRA-04, SRC-11: regions, nations and customers as a field tree; qualified names and levels."""
+    """GRA-03, SRC-11: regions, nations and customers as a field tree; qualified names and levels."""
     return trees.qualified(_tree(spark, sf_dir))
 
 
@@ -302,7 +303,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 10000 AS y FROM lineitem WHERE l_orderkey <= 6000)
     SELECT l_orderkey, l_linenumber, p_partkey FROM p JOIN b ON x BETWEEN l AND r AND y BETWEEN bo AND t""")
 def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SPA-01, SPA-02, SPA-03: boxes of parts, points of line items, through a grid. The pairs grow with the product of both
+    """SPA-01, SPA-02: boxes of parts, points of line items, through a grid. The pairs grow with the product of both
     sides, so both are the first keys (the same at any scale)."""
     boxes = table(spark, sf_dir, "part").where("p_partkey <= 2000").selectExpr("p_partkey", "p_size AS left", "p_size * 20 AS bottom", "p_size + p_partkey % 5 AS right", "p_size * 20 + 25 AS top")
     points = table(spark, sf_dir, "lineitem").where("l_orderkey <= 6000").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS x", "l_discount * 10000 AS y")
