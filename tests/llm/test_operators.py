@@ -53,6 +53,19 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_come_from_chunks():
+    """Every part of a huge text is encoded, in chunks of bounded size that overlap, and the splices give the exact count."""
+    counter = token_counts.Counter(P.path("byte_bpe_50k.json"), 300, 20)
+    whole, seen = counter.library.starts, []
+    counter.library.starts = lambda x: seen.append(x) or whole(x)
+    for text in (" ".join(np.random.default_rng(4).choice(WORDS, 2000)), "x" * 2000, "a  b\n\n" * 400 + " é😀" * 300, "y" * 700 + " end of it " * 90):
+        seen.clear()
+        assert counter.count(pa.array([text, "two words"], pa.large_string())).tolist() == [len(whole(text)), 2]
+        assert sum(map(len, seen)) >= len(text)
+        if text.startswith(WORDS[0]) or text.count(" ") > 1500:
+            assert max(map(len, seen)) < 1000
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 

@@ -57,29 +57,36 @@ class Library:
         return [p.begin for p in self.model.encode_as_immutable_proto(text).pieces]
 
 
-def resynchronised(text: str, starts: Callable[[str], list[int]], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Places at which text falls into stretches whose encodings, end to end, are the encoding of text.
-
-    Around each planned cut two encodings overlap: one that ends behind it and one that begins before it. The cut goes to
-    the first place that is proven stable and starts a token in both. Without one the overlap is widened; if it reaches
-    both neighbours, there is no cut."""
-    cuts, n = [0], len(text)
+def spliced_count(text: str, starts: Callable[[str], list[int]], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
+    """The number of tokens of text from encodings of chunks that overlap.
+
+    The tokens of a chunk count from the splice before it up to the splice behind it. A splice is the first place in the
+    overlap that is proven stable and starts a token in both chunks. Without one the overlap is widened; if it reaches both
+    the last splice and the text's end, the chunk takes in the rest of the text."""
+    total, cut, n = 0, 0, len(text)
+    ahead = None  # where the chunk at hand begins, and its token starts
     for planned in range(chunk, n, chunk):
         wide = overlap
-        while True:
-            low, high = max(cuts[-1], planned - wide), min(n, planned + wide)
+        while planned > cut:
+            low, high, beyond = max(cut, planned - wide), min(n, planned + wide), min(n, planned + chunk + overlap)
             stable = np.array([m.start() for m in STABLE.finditer(text, low + 1, high - 1)], dtype=np.int64)
             if len(stable):
-                before = max(cuts[-1], low - wide)
-                common = np.intersect1d(np.asarray(starts(text[before:high])) + before, np.asarray(starts(text[low:high])) + low)
-                common = np.intersect1d(common, stable)
+                if ahead is None or ahead[0] < high:
+                    begin = 0 if ahead is None else ahead[2]
+                    ahead = high, np.asarray(starts(text[begin:high]), dtype=np.int64) + begin, begin
+                left, right = ahead[1], np.asarray(starts(text[low:beyond]), dtype=np.int64) + low
+                common = np.intersect1d(np.intersect1d(left[left < high], right), stable)
                 if len(common):
-                    cuts.append(int(common[0]))
+                    total += int(((left >= cut) & (left < common[0])).sum())
+                    cut, ahead = int(common[0]), (beyond, right, low)
                     break
-            if low == cuts[-1] and high == n:
+            if low == cut and high == n:
                 break
             wide *= 4
-    return cuts
+    if ahead is None or ahead[0] < n:
+        begin = 0 if ahead is None else ahead[2]
+        ahead = n, np.asarray(starts(text[begin:]), dtype=np.int64) + begin, begin
+    return total + int((ahead[1] >= cut).sum())
 
 
 class Counter:
@@ -101,19 +108,8 @@ class Counter:
         return sums(per, offsets)
 
     def count(self, texts: pa.Array) -> np.ndarray:
-        rows, stretches, begins = [], [], []
-        huge = np.flatnonzero(pc.utf8_length(texts).to_numpy() > self.chunk)
-        for k in huge:
-            text = texts[k].as_py()
-            cuts = [*resynchronised(text, self.library.starts, self.chunk, self.overlap), len(text)]
-            for a, b in zip(cuts, cuts[1:]):
-                rows.append(k)
-                stretches.append(text[a + (a > 0) : b])  # the blank at a cut goes; the table of later pieces has it
-                begins.append(a == 0)
-        small = np.setdiff1d(np.arange(len(texts)), huge)
-        rows = np.concatenate([small, np.array(rows, dtype=np.int64)]).astype(np.int64)
-        begins = np.concatenate([np.ones(len(small), dtype=bool), np.array(begins, dtype=bool)])
-        parts = pa.concat_arrays([texts.take(pa.array(small)), pa.array(stretches, texts.type)])
+        huge = pc.utf8_length(texts).to_numpy() > self.chunk
+        parts, begins = texts.filter(pa.array(~huge)), np.ones(int((~huge).sum()), dtype=bool)
         n = np.zeros(len(parts), dtype=np.int64)
         uneven = pc.match_substring_regex(parts, UNEVEN).to_numpy(zero_copy_only=False)
         even = ~uneven & (pc.binary_length(parts).to_numpy() > 0)
@@ -122,7 +118,11 @@ class Counter:
         for k in np.flatnonzero(uneven):
             head, *tail = STABLE.split(parts[k].as_py())
             n[k] = sum(map(len, (self.first if begins[k] else self.rest).get([head]))) // 4 + sum(map(len, self.rest.get(tail))) // 4
-        return np.bincount(rows, weights=n, minlength=len(texts)).astype(np.int64)
+        out = np.empty(len(texts), dtype=np.int64)
+        out[~huge] = n
+        for k in np.flatnonzero(huge):
+            out[k] = spliced_count(texts[k].as_py(), self.library.starts, self.chunk, self.overlap)
+        return out
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
