@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.session import cut
+
 
 def floor_join(probes: DataFrame, keys: DataFrame, by: str, at: str, key: str, ties: str, value: str) -> DataFrame:
     """probes with the value of the greatest key at or below `at` within `by`; of equal keys the one with the largest `ties`.
@@ -38,25 +40,139 @@ def diff(older: DataFrame, newer: DataFrame, key: str, columns: list[str]) -> Da
     return both.select(F.coalesce("_a", "_b").alias(key), change.alias("change")).where("change is not null")
 
 
+#: A box that touches more cells than this isn't listed under them; it is compared with the points of whole columns of cells.
+MOST_CELLS = 16
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """All pairs of a point (x, y) and a box (left, bottom, right, top) that holds it, edges inside.
 
-    Boxes are listed under the grid cells that they touch and joined with the points' cells, then compared exactly; a box
-    touches few cells if `cell` is about the size of a box."""
+    Boxes are listed under the grid cells that they touch and joined with the points' cells, then compared exactly. A box over
+    more than MOST_CELLS cells is listed once for each larger cell (MOST_CELLS times as wide, again and again) that it touches
+    at the first size where it touches few: points are looked up at each size in use, so no box makes many rows."""
+    at = lambda c, k: F.floor(F.col(c) / (cell * MOST_CELLS**k))
+    cells = lambda k: (at("right", k) - at("left", k) + 1) * (at("top", k) - at("bottom", k) + 1)
+    size = F.lit(SIZES - 1)
+    for k in reversed(range(SIZES - 1)):
+        size = F.when(cells(k) <= MOST_CELLS, k).otherwise(size)
+    sized = boxes.withColumn("_size", size)
+    used = sorted(r[0] for r in sized.select("_size").distinct().collect())  # SIZES rows at most
+    low = lambda c: F.element_at(F.array(*[at(c, k) for k in range(SIZES)]), F.col("_size") + 1)
+    listed = sized.withColumn("_cx", F.explode(F.sequence(low("left"), low("right")))).withColumn("_cy", F.explode(F.sequence(low("bottom"), low("top"))))
+    each = F.array(*[F.struct(F.lit(k).alias("_size"), at("x", k).alias("_cx"), at("y", k).alias("_cy")) for k in used or [0]])
+    found = points.withColumn("_c", F.explode(each)).select(*points.columns, "_c.*").join(listed, ["_size", "_cx", "_cy"])
+    return found.where("x between left and right and y between bottom and top").drop("_size", "_cx", "_cy")
+
+
+#: Sizes of cells, each MOST_CELLS times as wide as the one before.
+SIZES = 8
+
+
+def boxes_in_rectangles(boxes: DataFrame, rectangles: DataFrame, cell: float) -> DataFrame:
+    """All pairs of a box and a rectangle (r_left, r_bottom, r_right, r_top) that overlap, edges included: both are listed under
+    the cells that they touch, and a pair counts in the cell of its overlap's lower left corner alone."""
     of = lambda c: F.floor(F.col(c) / cell)
-    listed = boxes.withColumn("_cx", F.explode(F.sequence(of("left"), of("right")))).withColumn("_cy", F.explode(F.sequence(of("bottom"), of("top"))))
-    at = points.withColumn("_cx", of("x")).withColumn("_cy", of("y"))
-    return at.join(listed, ["_cx", "_cy"]).where("x between left and right and y between bottom and top").drop("_cx", "_cy")
 
+    def listed(df: DataFrame, pre: str) -> DataFrame:
+        return df.withColumn("_cx", F.explode(F.sequence(of(f"{pre}left"), of(f"{pre}right")))).withColumn("_cy", F.explode(F.sequence(of(f"{pre}bottom"), of(f"{pre}top"))))
+
+    met = listed(boxes, "").join(listed(rectangles, "r_"), ["_cx", "_cy"])
+    met = met.where("left <= r_right and r_left <= right and bottom <= r_top and r_bottom <= top")
+    first = (F.col("_cx") == F.floor(F.greatest("left", "r_left") / cell)) & (F.col("_cy") == F.floor(F.greatest("bottom", "r_bottom") / cell))
+    return met.where(first).drop("_cx", "_cy")
+
+
+def transformed(x: Column, y: Column, m: list) -> tuple[Column, Column]:
+    """A point through the matrix [a b c d e f]: x' = a x + c y + e, y' = b x + d y + f."""
+    a, b, c, d, e, f = m
+    return a * x + c * y + e, b * x + d * y + f
+
+
+def transformed_box(left: Column, bottom: Column, right: Column, top: Column, m: list) -> Column:
+    """struct(left, bottom, right, top) around the four corners after the matrix."""
+    corners = [transformed(x, y, m) for x in (left, right) for y in (bottom, top)]
+    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+    return F.struct(F.least(*xs).alias("left"), F.least(*ys).alias("bottom"), F.greatest(*xs).alias("right"), F.greatest(*ys).alias("top"))
+
+
+def nearest(points: DataFrame, items: DataFrame, by: str, point_id: str, item_id: str) -> DataFrame:
+    """point_id, item_id, distance: for each point (by, x, y) the item (by, left, bottom, right, top) of the same `by` (a page)
+    with the smallest distance from it, 0 inside; of equally near ones the smaller item_id. Partial aggregation; a page's
+    items are bounded by the page."""
+    met = points.select(by, point_id, "x", "y").join(items.select(by, item_id, "left", "bottom", "right", "top"), by)
+    dx = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("right"), F.lit(0.0))
+    dy = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("top"), F.lit(0.0))
+    best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), F.col(item_id).alias("item")))
+    return met.groupBy(point_id).agg(best.alias("b")).select(point_id, F.col("b.item").alias(item_id), F.col("b.distance").alias("distance"))
+
+
+def first_by_key(entries: DataFrame, key: str, order: str) -> DataFrame:
+    """The first entry of each key in tree order; later ones of the same key don't count."""
+    return entries.groupBy(key).agg(F.min_by(F.struct(*[c for c in entries.columns if c != key]), order).alias("_e")).select(key, "_e.*")
 
-def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, median: the value at place floor(n / 2), counted from 0, in ascending order."""
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = rows.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    return ranked.where("_k = floor(_n / 2) + 1").select(key, F.col(value).alias("median"))
+
+def page_by_label(labels: DataFrame, asked: DataFrame, label: str, page: str) -> DataFrame:
+    """asked with page: the first page with exactly this label, else the first that differs in case alone, else null."""
+    exact = labels.groupBy(F.col(label).alias("_l")).agg(F.min(page).alias("_exact"))
+    loose = labels.groupBy(F.lower(label).alias("_u")).agg(F.min(page).alias("_loose"))
+    out = asked.join(exact, F.col("asked") == F.col("_l"), "left").join(loose, F.lower("asked") == F.col("_u"), "left")
+    return out.select(*asked.columns, F.coalesce("_exact", "_loose").alias(page))
+
+
+def folder_of(name: Column) -> Column:
+    """The folder id that a portfolio file's name begins with, such as <12>report.pdf; null without one."""
+    return F.nullif(F.regexp_extract(name, "^<([0-9]+)>", 1), F.lit("")).cast("long")
+
+
+def owned_attribute(own: Column, classes: Column, inherited: Column | None = None, default: Column | None = None) -> Column:
+    """An attribute's value: the element's own, else the first of its classes', else the ancestors', else the default."""
+    out = [own, F.get(F.filter(classes, lambda x: x.isNotNull()), F.lit(0))]
+    return F.coalesce(*out, *([inherited] if inherited is not None else []), *([default] if default is not None else []))
+
+
+def required_version(rows: DataFrame, key: str, feature: str, needs: dict[str, str], floor: str) -> DataFrame:
+    """key, version, feature: the highest version that the features of a key need, not below floor; of features that need the
+    same the first by name; null where the floor alone counts."""
+    known = F.create_map(*[F.lit(x) for kv in needs.items() for x in kv])
+    each = rows.select(key, F.col(feature).alias("f"), F.element_at(known, F.col(feature)).alias("v")).where("v is not null")
+    best = each.groupBy(key, "v").agg(F.min("f").alias("f")).groupBy(key).agg(F.max(F.struct("v", "f")).alias("m"))
+    out = rows.select(key).distinct().join(best, key, "left")
+    above = F.col("m.v") > F.lit(floor)
+    return out.select(key, F.when(above, F.col("m.v")).otherwise(F.lit(floor)).alias("version"), F.when(above, F.col("m.f")).alias("feature"))
+
+
+def upper_median(rows: DataFrame, key: str, value: str, fallback: float | None = None) -> DataFrame:
+    """key, median: the value at place floor(n / 2), counted from 0, in ascending order; fallback where it is 0 or less, or where
+    a key has no value at all (without a fallback null).
+
+    Two passes: approximate quantiles bound each key's middle thousandths, then only the distinct values in there are
+    ordered, with counts of what lies below; a hot key costs partial aggregates, not one task."""
+    known = rows.where(F.col(value).isNotNull())
+    bounds = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, [0.499, 0.501], 20_000).alias("_b"))
+    met = known.select(key, F.col(value).alias("_v")).join(F.broadcast(bounds) if bounds.limit(10_001).count() <= 10_000 else bounds, key)
+    inside = (F.col("_v") >= F.col("_b")[0]) & (F.col("_v") <= F.col("_b")[1])
+    counts = met.where((F.col("_v") <= F.col("_b")[1])).groupBy(key, F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()))
+    placed = counts.withColumn("_upto", upto).where(F.col("_v").isNotNull() & (F.floor(F.col("_n") / 2) < F.col("_upto")) & (F.floor(F.col("_n") / 2) >= F.col("_upto") - F.col("_c")))
+    found = rows.select(key).distinct().join(placed.select(key, "_v"), key, "left")
+    out = F.col("_v") if fallback is None else F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.lit(fallback))
+    return found.select(key, out.alias("median"))
 
 
 def mode(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, mode, n: the most frequent value, of equally frequent ones the smallest."""
     counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(key).agg(F.min(F.struct(-F.col("n"), F.col(value))).alias("_m")).select(key, F.col(f"_m.{value}").alias("mode"), (-F.col("_m.col1")).alias("n"))
+
+
+def placed(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """rows with their place from 1 in the order of `by`: dealt into ranges, numbered within each, and moved on by the counts of
+    the ranges before, of which the driver gets one row each."""
+    ranged = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before, bases = 0, []
+    for r in sorted(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        bases.append((r["_range"], before))
+        before += r["n"]
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    known = F.broadcast(rows.sparkSession.createDataFrame(bases, "_range int, _base long"))
+    return ranged.withColumn(name, own).join(known, "_range").withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")

@@ -5,47 +5,36 @@ Each docstring names the inventory rows (SURVEY section 2) that its query exerci
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions import values as V
 from vellum.operators import assembly, lookups, search, trees
+from vellum.plans.base import ORACLE, QUERIES, query  # noqa: F401
 from vellum.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 _SPACE = r"[\s\x{85}\p{Z}]+"
 _PAGE = rf"trim(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g'))"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _matches(table_name: str, keys: str, needle: str) -> str:
+    n = len(needle)
     return f"""
         WITH p AS (SELECT {keys}, {_PAGE} AS shown FROM {table_name}),
         f AS (SELECT *, string_split(lower(strip_accents(shown)), '{needle}') AS parts FROM p),
         k AS (SELECT *, unnest(range(1, len(parts))) AS match_no FROM f),
-        s AS (SELECT *, CAST(list_sum(list_transform(parts[1:match_no], lambda x: length(x))) + (match_no - 1) * {len(needle)} AS INT) AS start FROM k)
-        SELECT {keys}, CAST(match_no AS INT) AS match_no, start, substring(shown, start + 1, {len(needle)}) AS text,
-            substring(shown, greatest(start - 32, 0) + 1, least(start + {len(needle)} + 32, length(shown)) - greatest(start - 32, 0)) AS context FROM s"""
+        s AS (SELECT *, CAST(list_sum(list_transform(parts[1:match_no], lambda x: length(x))) + (match_no - 1) * {n} AS INT) AS start FROM k),
+        w AS (SELECT *, greatest(start - 32, 0) AS l0, least(start + {n} + 32, length(shown)) AS h0 FROM s),
+        c AS (SELECT *, l0 + CASE WHEN l0 > 0 THEN length(regexp_extract(substring(shown, l0 + 1, start - l0), '^(.* )', 1)) ELSE 0 END AS l,
+            CASE WHEN h0 < length(shown) AND instr(substring(shown, start + {n + 1}, h0 - start - {n}), ' ') > 0 THEN start + {n} + instr(substring(shown, start + {n + 1}, h0 - start - {n}), ' ') - 1 ELSE h0 END AS h FROM w)
+        SELECT {keys}, CAST(match_no AS INT) AS match_no, start, substring(shown, start + 1, {n}) AS text,
+            concat(CASE WHEN l > 0 THEN '…' ELSE '' END, substring(shown, CAST(l + 1 AS BIGINT), CAST(h - l AS BIGINT)), CASE WHEN h < length(shown) THEN '…' ELSE '' END) AS context FROM c"""
 
 
 @query(_matches("documents", "doc_id, source", "eaux"))
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEA-01, SEA-02, SEA-04, SEA-06: a document is a page of its source; context is 32 characters to each side, untrimmed.
-    Marks are folded by a fixed list of Latin letters, not by a full decomposition."""
+    """SEA-01, SEA-02, SEA-04, SEA-06: a document is a page of its source; context is 32 characters to each side, cut to blanks."""
     return search.matches(table(spark, sf_dir, "documents"), ["doc_id", "source"], "Eaux")
 
 
@@ -104,16 +93,18 @@ def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.floor_join(probes, keys, "user_id", "ts", "o_orderdate", "o_orderkey", "o_orderkey").select("event_id", "user_id", "o_orderkey")
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS code, CAST(round(32 * l_discount) AS INT) AS x, l_returnflag FROM lineitem),
-    l AS (SELECT *, row_number() OVER (PARTITION BY code, x ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM a WHERE l_returnflag = 'A'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY code, x ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM a WHERE l_returnflag = 'R')
-    SELECT l.code, l.x, l.l_orderkey * 8 + l.l_linenumber AS left_id, r.l_orderkey * 8 + r.l_linenumber AS right_id FROM l JOIN r USING (code, x, n)""")
+_GLYPH = "l_suppkey AS page, CAST(l_quantity AS INT) AS code, CAST(round(32 * l_discount) AS INT) AS x, CAST(round(32 * l_tax) AS INT) AS y, l_orderkey * 8 + l_linenumber AS id, l_returnflag"
+
+
+@query(f"""WITH a AS (SELECT {_GLYPH} FROM lineitem),
+    l AS (SELECT *, row_number() OVER (PARTITION BY page, code, x, y ORDER BY id) AS n FROM a WHERE l_returnflag = 'A'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page, code, x, y ORDER BY id) AS n FROM a WHERE l_returnflag = 'R')
+    SELECT page, l.code, l.x, l.y, l.id AS left_id, r.id AS right_id FROM l JOIN r USING (page, code, x, y, n)""")
 def glyph_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-04: line items as glyphs, code and place rounded to 1/32; each row is matched once, in order."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("code"), F.round(32 * F.col("l_discount")).cast("int").alias("x"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_returnflag")
-    left = rows.where("l_returnflag = 'A'").select("code", "x", F.col("id").alias("left_id"))
-    right = rows.where("l_returnflag = 'R'").select("code", "x", F.col("id").alias("right_id"))
-    return lookups.multiset_join(left, right, ["code", "x"], "left_id", "right_id")
+    """JON-04: a supplier's line items as glyphs of a page, code and place rounded to 1/32; each row is matched once, in order."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*(x.strip() for x in _GLYPH.split(", ")))
+    sides = [rows.where(F.col("l_returnflag") == k).select("page", "code", "x", "y", F.col("id").alias(n)) for k, n in (("A", "left_id"), ("R", "right_id"))]
+    return lookups.multiset_join(*sides, ["page", "code", "x", "y"], "left_id", "right_id")
 
 
 _TREE = """SELECT concat('r', r_regionkey) AS id, CAST(NULL AS {s}) AS parent_id, r_name AS name FROM region
@@ -130,11 +121,22 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUALIFIED = f"""WITH RECURSIVE nodes AS ({_TREE.format(s="VARCHAR")}),
     t AS (SELECT id, 0 AS depth, name AS fqn FROM nodes WHERE parent_id IS NULL UNION ALL SELECT c.id, t.depth + 1, concat(t.fqn, '.', c.name) FROM nodes c JOIN t ON c.parent_id = t.id)"""
 
+#: A region of an even key and a nation of a key that 3 divides are closed; values stand at some levels only.
+_KINDS = """SELECT id, parent_id, name, CASE substr(id, 1, 1) WHEN 'r' THEN CAST(substr(id, 2) AS BIGINT) % 2 = 1 WHEN 'n' THEN CAST(substr(id, 2) AS BIGINT) % 3 <> 0 ELSE true END AS is_open,
+    CASE WHEN substr(id, 1, 1) = 'r' THEN name WHEN substr(id, 1, 1) = 'n' AND CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN concat(name, '!') END AS kind,
+    CASE WHEN substr(id, 1, 1) = 'c' AND CAST(substr(id, 2) AS BIGINT) % 5 = 0 THEN 1 WHEN substr(id, 1, 1) = 'n' THEN 2 END AS flags, CAST(substr(id, 2) AS BIGINT) AS ordinal FROM nodes"""
 
-@query(f"{_QUALIFIED} SELECT id, depth, fqn FROM t")
+
+@query(f"""WITH RECURSIVE nodes AS ({_TREE.format(s="VARCHAR")}), k AS ({_KINDS}),
+    t AS (SELECT id, 0 AS depth, name AS fqn, kind, flags, true AS visible, is_open, [ordinal] AS place FROM k WHERE parent_id IS NULL
+        UNION ALL SELECT k.id, t.depth + 1, concat(t.fqn, '.', k.name), coalesce(k.kind, t.kind), coalesce(k.flags, t.flags), t.visible AND t.is_open, k.is_open, list_append(t.place, k.ordinal) FROM k JOIN t ON k.parent_id = t.id)
+    SELECT id, depth, fqn, kind, flags, visible, array_to_string(place, '/') AS place FROM t""")
 def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRA-03, SRC-11: regions, nations and customers as a field tree; qualified names and levels."""
-    return trees.qualified(_tree(spark, sf_dir))
+    """GRA-02, GRA-03, GRA-04, SRC-11: regions, nations and customers as a field tree, an outline and a page tree; qualified names
+    and levels, values inherited from the nearest ancestor, entries with open ancestors only, preorder by ordinals."""
+    _tree(spark, sf_dir).createOrReplaceTempView("nodes")
+    out = trees.climbed(spark.sql(_KINDS), inherited=["kind", "flags"], opened="is_open", ordinal="ordinal")
+    return out.withColumn("place", F.array_join(F.transform("place", lambda x: x.cast("string")), "/"))
 
 
 @query(f"{_QUALIFIED} SELECT id, fqn FROM t WHERE NOT (fqn = 'ASIA' OR starts_with(fqn, 'ASIA.') OR fqn = 'EUROPE.FRANCE' OR starts_with(fqn, 'EUROPE.FRANCE.'))")
@@ -160,38 +162,20 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REV = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id {c} GROUP BY user_id"
 
 
-@query(f"""WITH o AS ({_REV.format(c="% 2 = 0")}), n AS ({_REV.format(c="% 3 <> 0")})
-    SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
-    FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.event_type IS DISTINCT FROM n.event_type OR o.user_id IS NULL OR n.user_id IS NULL""")
-def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-08: two states of the users' events compared."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    older, newer = (lookups.newest(rows.where(c), "user_id", "event_id") for c in ("event_id % 2 = 0", "event_id % 3 <> 0"))
-    return lookups.diff(older, newer, "user_id", ["event_type"])
-
-
 @query(f"""WITH o AS ({_REV.format(c="% 2 = 0")}), n AS ({_REV.format(c="% 6 <> 0")})
     SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
     FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.event_type IS DISTINCT FROM n.event_type OR o.user_id IS NULL OR n.user_id IS NULL""")
-def revision_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-08: two states of the users' events compared; each event is in one of them at least."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     older, newer = (lookups.newest(rows.where(c), "user_id", "event_id") for c in ("event_id % 2 = 0", "event_id % 6 <> 0"))
     return lookups.diff(older, newer, "user_id", ["event_type"])
 
 
-@query("""WITH u AS (SELECT 0 AS part, conv_id, turn FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 1, conv_id, turn FROM conversations WHERE conv_id % 5 = 0)
-    SELECT part, conv_id, turn, row_number() OVER (ORDER BY part, conv_id, turn) - 1 AS new_page FROM u""")
-def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-01, SET-02, SET-07: two sets of conversations one behind the other, some in both; turns are pages."""
-    c = table(spark, sf_dir, "conversations")
-    return assembly.merge([c.where("conv_id % 2 = 0"), c.where("conv_id % 5 = 0")], "conv_id", "turn")
-
-
 @query("""WITH u AS (SELECT 0 AS part, conv_id, turn FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 1, conv_id, turn FROM conversations WHERE conv_id % 2 <> 0 OR conv_id % 5 = 0)
     SELECT part, conv_id, turn, row_number() OVER (ORDER BY part, conv_id, turn) - 1 AS new_page FROM u""")
-def merged_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-01, SET-02, SET-07: two sets of conversations one behind the other, each conversation in one of them at least and
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-01, SET-02: two sets of conversations one behind the other, each conversation in one of them at least and
     some in both; turns are pages."""
     c = table(spark, sf_dir, "conversations")
     return assembly.merge([c.where("conv_id % 2 = 0"), c.where("conv_id % 2 <> 0 or conv_id % 5 = 0")], "conv_id", "turn")
@@ -206,13 +190,13 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, p_type AS name, CASE WHEN k = 0 THEN p_type ELSE concat(p_type, '_', k) END AS new_name FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)""")
 def renamed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-05: colliding names get numbers; types of parts hold no underscore, so no chain of names collides."""
+    """SET-05: colliding names get numbers; types of parts hold no underscore, so no chain of names collides (`renamed_chains`)."""
     return assembly.renamed(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name")), "name", "p_partkey")
 
 
 @query("""SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_type ASC, p_size DESC, p_retailprice ASC, p_partkey) AS place FROM part""")
 def portfolio_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-01, SRT-02, SRT-03: files of a portfolio by several keys, each with its direction, and a unique key last."""
+    """SRT-02: files of a portfolio by several keys, each with its direction, and a unique key last."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("p_brand").orderBy("p_type", F.col("p_size").desc(), "p_retailprice", "p_partkey")
@@ -231,16 +215,9 @@ def layer_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", assembly.is_visible(["And", "q", ["Not", "t"]]).alias("shown"), *each, toggled.alias("toggled"))
 
 
-@query("SELECT doc_id, text AS decoded FROM (SELECT doc_id, substring(text, 1, 200) AS text FROM documents)")
-def hex_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-01, STR-01: the start of each text as hex digits with blanks among them and an end mark, decoded again."""
-    data = F.concat(F.regexp_replace(F.hex(F.encode(F.substring("text", 1, 200), "UTF-8")), "(.{16})", "$1\n "), F.lit(">ff"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.decode(T.ascii_hex(data), "UTF-8").alias("decoded"))
-
-
 @query("SELECT doc_id, text AS decoded FROM documents")
-def hex_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-01, STR-01: each whole text as hex digits with blanks among them and an end mark, decoded again."""
+def hex_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-01: each whole text as hex digits with blanks among them and an end mark, decoded again."""
     data = F.concat(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(.{16})", "$1\n "), F.lit(">ff"))
     return table(spark, sf_dir, "documents").select("doc_id", F.decode(T.ascii_hex(data), "UTF-8").alias("decoded"))
 
@@ -280,51 +257,41 @@ def function_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
     SELECT l_returnflag, v AS median FROM r WHERE k = n // 2 + 1""")
 def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-02, LAY-03: the upper median of prices by return flag."""
+    """AGG-02: the upper median of prices by return flag."""
     return lookups.upper_median(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
 
 
 @query("""SELECT l_suppkey, mode, n FROM (SELECT l_suppkey, CAST(l_quantity AS INT) AS mode, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, CAST(l_quantity AS INT)) AS k FROM lineitem GROUP BY 1, 2) WHERE k = 1""")
 def body_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-03, LAY-10: the most frequent quantity of each supplier, of equally frequent ones the smallest."""
+    """AGG-03: the most frequent quantity of each supplier, of equally frequent ones the smallest."""
     return lookups.mode(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("int").alias("q")), "l_suppkey", "q")
 
 
 @query("""SELECT p_brand, p_size, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS INT) AS level, count(*) AS n FROM part GROUP BY p_brand, p_size""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LAY-10, WIN-03: distinct sizes of a brand ranked, the largest first."""
+    """WIN-03: distinct sizes of a brand ranked, the largest first."""
     from pyspark.sql import Window
 
     counts = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("level", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.col("p_size").desc())))
 
 
-@query("""WITH b AS (SELECT p_partkey, p_size AS l, p_size * 20 AS bo, p_size + p_partkey % 5 AS r, p_size * 20 + 25 AS t FROM part WHERE p_partkey <= 2000),
-    p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 10000 AS y FROM lineitem WHERE l_orderkey <= 6000)
-    SELECT l_orderkey, l_linenumber, p_partkey FROM p JOIN b ON x BETWEEN l AND r AND y BETWEEN bo AND t""")
-def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SPA-01, SPA-02: boxes of parts, points of line items, through a grid. The pairs grow with the product of both
-    sides, so both are the first keys (the same at any scale)."""
-    boxes = table(spark, sf_dir, "part").where("p_partkey <= 2000").selectExpr("p_partkey", "p_size AS left", "p_size * 20 AS bottom", "p_size + p_partkey % 5 AS right", "p_size * 20 + 25 AS top")
-    points = table(spark, sf_dir, "lineitem").where("l_orderkey <= 6000").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS x", "l_discount * 10000 AS y")
-    return lookups.points_in_boxes(points, boxes, 10.0).select("l_orderkey", "l_linenumber", "p_partkey")
-
-
 @query("""WITH b AS (SELECT p_partkey, p_size AS l, p_size * 20 AS bo, p_size + p_partkey % 5 AS r, p_size * 20 + 25 AS t FROM part),
-    p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 10000 AS y FROM lineitem)
-    SELECT l_orderkey, l_linenumber, p_partkey FROM p JOIN b ON x BETWEEN l AND r AND y BETWEEN bo AND t""")
-def points_in_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SPA-01, SPA-02: points_in_boxes over all parts and line items."""
+    p AS (SELECT l_quantity AS x, l_discount * 10000 AS y, count(*) AS n, sum(l_orderkey) AS s FROM lineitem GROUP BY ALL)
+    SELECT p_partkey, CAST(sum(n) AS BIGINT) AS n_points, CAST(sum(s) AS BIGINT) AS keys FROM p JOIN b ON x BETWEEN l AND r AND y BETWEEN bo AND t GROUP BY p_partkey""")
+def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPA-01, SPA-02: boxes of all parts, points of all line items, through a grid; the points of each box. Line items at one
+    place are one point before they meet the boxes."""
     boxes = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS left", "p_size * 20 AS bottom", "p_size + p_partkey % 5 AS right", "p_size * 20 + 25 AS top")
-    points = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS x", "l_discount * 10000 AS y")
-    return lookups.points_in_boxes(points, boxes, 10.0).select("l_orderkey", "l_linenumber", "p_partkey")
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_quantity AS x", "l_discount * 10000 AS y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
+    return lookups.points_in_boxes(points, boxes, 10.0).groupBy("p_partkey").agg(F.sum("n").alias("n_points"), F.sum("s").alias("keys"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
     SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(len(list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '')) AS INT) AS n_words,
     CAST(length(trim(regexp_replace(line, '{_SPACE}', ' ', 'g'))) AS INT) AS n_chars FROM l""")
 def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-04, TXT-06, WIN-01, M8: the lines of each text and their words; gaps are white space here."""
+    """TXT-06, M8: the lines of each text and their words; gaps are white space here."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.filter(F.split("line", _SPACE), lambda w: w != "")
     return lines.select("doc_id", "line_no", F.size(words).alias("n_words"), F.length(F.array_join(words, " ")).alias("n_chars"))
@@ -332,7 +299,7 @@ def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey // 3 AS src, o_orderkey AS dst FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 1 FROM orders), t AS (SELECT 1::BIGINT AS id UNION SELECT dst FROM e JOIN t ON e.src = t.id) SELECT id FROM t""")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-13, SET-10, GRA-06: orders as objects that refer to one another, walked from the first; cycles end."""
+    """SRC-13: orders as objects that refer to one another, walked from the first; cycles end."""
     key = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     down = orders.where(key % 7 != 0).select(F.floor(key / 3).alias("src"), key.alias("dst"))
@@ -340,14 +307,6 @@ def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.reachable(edges, spark.createDataFrame([(1,)], "id long"))
 
 
-@query(r"""SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_extract(line, '^\s*([A-Za-z]+):', 1) AS word, regexp_matches(lang, '^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$') AS tagged FROM
-    (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) WHERE regexp_matches(line, '^\s*[A-Za-z]+:')""")
-def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-07, STR-09: lines that begin with a word and a colon, as captions do, and the language tag's shape."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"^\s*[A-Za-z]+:")).select("doc_id", "line_no", F.regexp_extract("line", r"^\s*([A-Za-z]+):", 1).alias("word"), T.is_language_tag(F.col("lang")).alias("tagged"))
-
-
 @query("SELECT event_type, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY event_type")
 def diagnostics_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04: events as diagnostics, reported once a code with how often and where they came."""
@@ -368,12 +327,8 @@ def permitted_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, depth FROM t WHERE EXISTS (SELECT 1 FROM f WHERE f.fqn = t.fqn OR starts_with(f.fqn, t.fqn || '.'))""")
 def pruned_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-06: the tree's items that are kept or have a kept descendant; kept are customers with a large order."""
-    tree = trees.qualified(_tree(spark, sf_dir))
     kept = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("id")).distinct()
-    names = F.split(F.col("fqn"), "\\.")
-    # Each kept item lists its ancestors' names, three at most here, so no pair of items is compared.
-    up = tree.join(kept, "id", "left_semi").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "."))).alias("fqn")).distinct()
-    return tree.join(up, "fqn", "left_semi").select("id", "depth")
+    return trees.pruned(trees.qualified(_tree(spark, sf_dir)), kept).select("id", "depth")
 
 
 @query("SELECT conv_id, turn, CAST(k AS INT) AS kept_no FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3")
@@ -383,3 +338,6 @@ def limited_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("kept_no"))
     return rows.where("kept_no <= 3")
+
+
+from vellum.plans import files, layouts, scalars, tables  # noqa: E402, F401

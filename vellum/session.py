@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,10 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8, **
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
     } | conf
+    # Python workers find this package wherever the session was started; a cluster's executors get it by --py-files or an install.
+    home = str(Path(__file__).resolve().parents[1])
+    if home not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [home, os.environ.get("PYTHONPATH")]))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("vellum").config(map=settings)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -28,3 +34,16 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8, **
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables, by any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut at a checkpoint in the folder that spark.checkpoint.dir names, so that lost executors cost
+    nothing before it. Where it is unset, a local session (tests) gets a folder; on a cluster that is an error."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='vellum-')}")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
