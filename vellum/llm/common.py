@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,11 +16,17 @@ from pyspark.sql import functions as F
 #: Rows of text that a Python worker gets at once; long texts make batches of some tens of MB at most.
 BATCH_ROWS = 2048
 BATCH_BYTES = 32 << 20
+#: What is broadcast takes so many bytes at most; executors hold a few times as many for its hash table.
+MOST_BROADCAST_BYTES = 48 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets a new
+    one; on a cluster that is an error, as no folder of the driver's machine would be seen by the others."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -52,15 +61,46 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow of one batch at a time, in slices of so many rows."""
+def release() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system. A Python worker outlives its task; without this,
+    what one operator's models took would stay beside the next operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def give_back_heap(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to collect their garbage, upon which they return heap that they don't use. A JVM lets its heap
+    grow to its bound before it collects; where it shares a container with Python workers, a stage of large Python workers
+    behind stages that ran in the JVM would find no room left."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
+def by_batch(df: DataFrame, f: Callable, schema, rows: int = BATCH_ROWS, make: Callable | None = None) -> DataFrame:
+    """mapInArrow of one batch at a time, in slices of so many rows: f(batch) gives a batch, several, or None. make() builds
+    what all batches of a task share (a model, a tokenizer); f(made, batch) gets it, and it goes when the task ends."""
     arrow(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := f(batch.slice(at, rows))) is not None:
-                    yield out
+        made = None
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    if make is None:
+                        out = f(part)
+                    else:
+                        made = make() if made is None else made
+                        out = f(made, part)
+                    if isinstance(out, pa.RecordBatch):
+                        yield out
+                    elif out is not None:
+                        yield from out
+        finally:
+            batch = part = out = made = None
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -70,11 +110,17 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def rows_below(df: DataFrame, most: int) -> bool:
-    """Whether df has at most so many rows, counting no further than that."""
-    return df.limit(most + 1).count() <= most
-
-
-def broadcast_below(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is (joins then shuffle)."""
-    return F.broadcast(df) if rows_below(df, most) else df
+def broadcast_below(df: DataFrame, most: int, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, else as it is (joins then shuffle). Both are
+    measured, no further than the bound on rows."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 + 16 * F.greatest(F.size(field.name), F.lit(0))
+        else:
+            size = size + 8
+    n, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df

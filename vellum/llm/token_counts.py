@@ -131,13 +131,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives an empty one. No
     shuffle: each row stays where it was read."""
     kind = dict(docs.dtypes)["doc_id"]
-    made: list[Counter] = []  # one to a Python worker and query
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Counter(path, chunk, overlap))
+    def run(counter: Counter, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = filled(batch.column(1))
-        n = made[0].count(texts)
+        n = counter.count(texts)
         return pa.record_batch([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", make=lambda: Counter(path, chunk, overlap))
