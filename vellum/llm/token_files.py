@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow, by_batch, new_folder
+from vellum.llm.common import arrow, by_batch, new_folder, release
 from vellum.llm.word_table import WordTable, byte_letters, filled, ragged, split_blanks, sums
 
 LEVEL_BITS = (8, 8, 16)
@@ -91,6 +91,14 @@ class Segment:
         self.doc_ids = [None if z else int(d) for d, z in zip(doc_ids, null)]
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    @staticmethod
+    def _rank(bitmap: np.ndarray, before: np.ndarray, i: int) -> int:
+        """Set bits before place i: the directory's count and the bytes from the block's start on."""
+        block = min(i // BLOCK, len(before) - 1) if len(before) else 0
+        ones = int(before[block]) if len(before) else 0
+        ones += int(np.bitwise_count(bitmap[block * BLOCK // 8 : i >> 3]).sum())
+        return ones + (int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+
     def __getitem__(self, i: int) -> int:
         """Token i of the segment, by one look at each of its levels."""
         if not 0 <= i < self.n_ids:
@@ -100,28 +108,31 @@ class Segment:
             out |= int(chunks[i]) << shift
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            whole = bitmap[block * BLOCK // 8 : i >> 3]
-            i = int(before[block]) + int(np.bitwise_count(whole).sum()) + int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
-            shift += bits
+            i, shift = self._rank(bitmap, before, i), shift + bits
         return out
 
-    def ids(self) -> np.ndarray:
-        """All ids at once."""
-        if not self.levels:
-            return np.zeros(0, dtype=np.uint32)
-        deeper, shift = None, sum(level[0] for level in self.levels)
-        for bits, chunks, bitmap, _ in reversed(self.levels):
-            shift -= bits
-            out = chunks.astype(np.uint32)
-            more = np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)
-            if deeper is not None:
-                out[more] |= deeper << np.uint32(bits)
+    def slice(self, low: int, high: int) -> np.ndarray:
+        """Tokens low to high - 1. Neighbours are neighbours at every level, so a rank at each end is all that is looked up."""
+        parts = []
+        for bits, chunks, bitmap, before in self.levels:
+            if low >= high:
+                break
+            more = np.unpackbits(bitmap[low >> 3 : (high + 7) >> 3], bitorder="little")[low & 7 : (low & 7) + high - low].astype(bool)
+            parts.append((bits, chunks[low:high].astype(np.uint32), more))
+            low = self._rank(bitmap, before, low)
+            high = low + int(more.sum())
+        deeper = np.zeros(0, dtype=np.uint32)
+        for bits, out, more in reversed(parts):
+            out[more] |= deeper << np.uint32(bits)
             deeper = out
         return deeper
 
+    def ids(self) -> np.ndarray:
+        """All ids at once."""
+        return self.slice(0, self.n_ids)
+
     def document(self, k: int) -> np.ndarray:
-        return self.ids()[self.starts[k] : self.starts[k] + self.lengths[k]]
+        return self.slice(int(self.starts[k]), int(self.starts[k] + self.lengths[k]))
 
 
 class Encoder:
@@ -161,24 +172,25 @@ class Encoder:
 
 def write(docs: DataFrame, path: str, folder: str) -> None:
     """Encodes docs (doc_id, text) and writes segments to folder, in ascending order of (doc_id, text): rows of (part, seg,
-    n_ids, packed), where (part, seg) ascends with doc_id. Null texts are empty; rows that repeat a doc_id follow each
+    n_ids, first_doc, last_doc, packed), where (part, seg) ascends with doc_id. Null texts are empty; rows that repeat a doc_id follow each
     other in the order of their texts; a null doc_id comes first."""
-    made: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(path))
+        encoder = Encoder(path)
         part, seg, held, n_held = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
             nonlocal seg, held, n_held
-            packed = pack([d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]))
-            row = pa.record_batch([pa.array([part]), pa.array([seg]), pa.array([n_held]), pa.array([packed], pa.large_binary())], ["part", "seg", "n_ids", "packed"])
+            own = [d for x in held for d in x[0]]
+            packed = pack(own, np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]))
+            known = [d for d in own if d is not None]
+            ends = [pa.array([known[k] if known else None], pa.int64()) for k in (0, -1)]
+            row = pa.record_batch([pa.array([part]), pa.array([seg]), pa.array([n_held]), *ends, pa.array([packed], pa.large_binary())], ["part", "seg", "n_ids", "first_doc", "last_doc", "packed"])
             seg, held, n_held = seg + 1, [], 0
             return row
 
         for batch in batches:
-            ids, n = made[0].encode(filled(batch.column(1)))
+            ids, n = encoder.encode(filled(batch.column(1)))
             doc_ids, ends = batch.column(0).to_pylist(), np.cumsum(n)
             low = 0
             while low < len(n):
@@ -191,26 +203,29 @@ def write(docs: DataFrame, path: str, folder: str) -> None:
                     yield out()
         if held:
             yield out()
+        encoder = None
+        release()
 
     arrow(docs.sparkSession)
     by_id = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    by_id.mapInArrow(run, "part long, seg long, n_ids long, packed binary").write.option("compression", "none").parquet(folder)
+    by_id.mapInArrow(run, "part long, seg long, n_ids long, first_doc long, last_doc long, packed binary").write.option("compression", "none").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files of folder."""
     files = spark.read.parquet(folder)
-    # One row a segment, so a window over all of them is small; the ids themselves stay where they are.
-    base = F.sum("n_ids").over(Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1))
-    bases = files.select("part", "seg", "n_ids").select("part", "seg", F.coalesce(base, F.lit(0)).alias("base"))
+    # Segments are counted up within each part, and parts, as many as the writer had tasks, in one task.
+    sizes = files.groupBy("part").agg(F.sum("n_ids").alias("all"))
+    sizes = sizes.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    base = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = files.select("part", "seg", "n_ids").withColumn("base", base).join(F.broadcast(sizes), "part").select("part", "seg", (F.col("base") + F.col("before")).alias("base"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], [], [], []]
         for part, seg, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
             s = Segment(raw)
-            ids = s.ids().astype("<u4")
-            for doc_id, start, n in zip(s.doc_ids, s.starts.tolist(), s.lengths.tolist()):
-                for c, v in zip(cols, (part, seg, doc_id, start, n, zlib.crc32(ids[start : start + n]))):
+            for k, (doc_id, start, n) in enumerate(zip(s.doc_ids, s.starts.tolist(), s.lengths.tolist())):
+                for c, v in zip(cols, (part, seg, doc_id, start, n, zlib.crc32(s.document(k).astype("<u4")))):
                     c.append(v)
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["part", "seg", "doc_id", "within", "n_tokens", "ids_crc32"])
 
@@ -218,8 +233,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(bases, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def tokens_at(spark: SparkSession, folder: str, doc_id: int, places: list[int]) -> list[int | None]:
+    """The ids at these places of a document, read from the files: of the rows whose span of doc_ids holds it (Parquet's
+    statistics leave out the others), by a look into each level. None beyond its end; of rows that repeat the doc_id, the first."""
+    rows = spark.read.parquet(folder).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("part", "seg").select("packed")
+    for row in rows.toLocalIterator():
+        s = Segment(bytes(row["packed"]))
+        if doc_id in s.doc_ids:
+            k = s.doc_ids.index(doc_id)
+            return [s[int(s.starts[k]) + i] if 0 <= i < s.lengths[k] else None for i in places]
+    return [None] * len(places)
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """write, then read. An empty table gives an empty one."""
+    """write, then read: every row of docs (doc_id, text; other columns are left out). Null texts are empty (the end id
+    alone); rows that repeat a doc_id are a document each, in the order of their texts; a null doc_id comes first; an empty
+    table gives an empty one."""
     folder = new_folder(docs.sparkSession, "tokens")
     write(docs, path, folder)
     return read(docs.sparkSession, folder)

@@ -60,7 +60,8 @@ class WordTable:
         parts = []
         for w in words:
             core = w.rstrip(self.marks) if self.marks else w
-            parts.append((self.fold(core), w[len(core) :]) if core.isalpha() else (w, ""))
+            # Beyond LATIN, lower case may end in a mark that the pre-tokenizer keeps with the one behind it.
+            parts.append((self.fold(core), w[len(core) :]) if core.isalpha() and max(core) < LATIN else (w, ""))
         words_known, tails = self.words, self.tails
         if new := list({c for c, _ in parts if c not in words_known}):
             own = self._words(new)
