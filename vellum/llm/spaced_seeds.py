@@ -69,7 +69,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, diagonal, share: the verified overlaps of docs (doc_id, text) with benchmark (item_id, text).
 
-    Null texts and texts without tokens have none; repeated rows count once."""
+    Null texts and texts without tokens have none; repeated rows count once; items without an item_id are found as others
+    are, with a null item_id."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     length = F.least(F.size(tokens(F.col("text"))), F.lit(WINDOW - 1))  # longer items have the same masks
     lengths: dict[tuple[str, ...], list[int]] = {}
@@ -86,8 +87,8 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with_hits = broadcast_below(hits.select("doc_id", "text_key").distinct(), MOST_HITS)
     texts = rows.join(with_hits, [rows["doc_id"].eqNullSafe(with_hits["doc_id"]), rows["text_key"] == with_hits["text_key"]], "left_semi")
     texts = texts.select("doc_id", "text_key", tokens(F.col("text")).alias("doc_tokens"))
-    item_tokens = broadcast_below(items.select(F.col("item_id"), F.xxhash64("text").alias("item_key"), tokens(F.col("text")).alias("item_tokens")), MOST_ITEMS)
-    laid = hits.join(item_tokens, ["item_id", "item_key"]).join(texts, [hits["doc_id"].eqNullSafe(texts["doc_id"]), hits["text_key"] == texts["text_key"]])
+    item_tokens = broadcast_below(items.select(F.col("item_id").alias("of_item"), F.xxhash64("text").alias("of_key"), tokens(F.col("text")).alias("item_tokens")), MOST_ITEMS)
+    laid = hits.join(item_tokens, F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("item_key") == F.col("of_key"))).join(texts, [hits["doc_id"].eqNullSafe(texts["doc_id"]), hits["text_key"] == texts["text_key"]])
     laid = laid.select(hits["doc_id"], hits["text_key"], "item_id", "diagonal", "doc_tokens", "item_tokens")
     equal = F.transform(F.col("item_tokens"), lambda x, p: F.when((p + F.col("diagonal") >= 0) & (F.get(F.col("doc_tokens"), p + F.col("diagonal")) == x), 1).otherwise(0))
     laid = laid.withColumn("equal", equal).drop("doc_tokens", "item_tokens")
@@ -99,7 +100,9 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_passages, item_ids (ascending, comma-joined), max_share of every row of docs."""
+    """doc_id, contaminated, n_passages, item_ids (ascending, comma-joined, items without an id left out), max_share of every
+    row of docs. Null texts hold nothing; rows that repeat a doc_id are judged each by its own text; an empty table gives an
+    empty one."""
     found = passages(docs, benchmark).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("ids"), F.max("share").alias("most"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n", "ids", "most")
     rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "text_key")
