@@ -22,8 +22,10 @@ BINS = 256
 BITS = 4
 SHINGLE = 5
 PROBES = 12
-#: Documents of a bucket of neighbours on average, and buckets up to which their table of first ids is broadcast.
+#: Documents of a bucket of neighbours on average, slices of equal numbers of rows at most, and buckets up to which their table of
+#: first ids is broadcast.
 BUCKET_ROWS = 1024
+RANGES = 4096
 MOST_BUCKETS = 1_000_000
 
 _LOW = 63 - int(math.log2(BINS))
@@ -87,26 +89,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - differ / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+def _buckets(docs: DataFrame) -> tuple[Column, Column]:
+    """Expressions for the slice and the part of a doc_id: slices of equal numbers of rows (RANGES at most, by approximate
+    quantiles), each cut into parts of equal width, BUCKET_ROWS rows each on average. Ids may lie as they like: what is far
+    off shares a slice with a RANGES-th of the rows at most."""
+    key = F.col("doc_id").cast("long")
+    n, low, high = docs.agg(F.count(key), F.min(key), F.max(key)).first()
+    if not n:
+        return F.lit(-1), F.lit(0).cast("long")
+    slices = min(RANGES, math.ceil(n / BUCKET_ROWS))
+    cuts = []
+    if slices > 1:
+        cuts = sorted({x for x in docs.agg(F.percentile_approx(key, [k / slices for k in range(1, slices)], 100_000)).first()[0] if low < x})
+    of = F.lit(0)
+    if cuts:  # the number of cuts at or below the id, found by halving
+        known, steps = F.lit(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        of = F.aggregate(F.lit(steps), F.lit(0), lambda i, s: F.when((i + s <= len(cuts)) & (F.get(known, i + s - 1) <= key), i + s).otherwise(i))
+    parts = math.ceil(n / (len(cuts) + 1) / BUCKET_ROWS)
+
+    def part(i: Column) -> Column:
+        first, beyond = F.get(F.lit([low, *cuts]), i), F.get(F.lit([*cuts, high + 1]), i)
+        return F.floor((key.cast("double") - first) / (beyond.cast("double") - first) * parts)
+
+    return F.when(key.isNull(), -1).otherwise(of), F.when(key.isNull() | F.lit(parts == 1), F.lit(0).cast("long")).otherwise(let(of, part))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """bucket, doc_id, text, next_text, extra: docs in buckets of neighbouring doc_ids. Each bucket also has, as extra rows
-    behind its own, the first document of the next bucket (of the last bucket: of the first), so next_text is known
-    inside the bucket. Rows that repeat a doc_id follow each other in the order of their texts; null doc_ids come first."""
-    base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, math.ceil((high - low + 1) / math.ceil(max(1, n) / BUCKET_ROWS)))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / float(width)), F.lit(-1))
-    base = base.withColumn("bucket", bucket)
-    # One row a bucket; the window over all of them orders a thousandth of the documents' ids.
-    firsts = base.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
-    by_bucket = Window.orderBy("bucket")
-    firsts = firsts.select("first_id", "bucket", F.lag("bucket").over(by_bucket).alias("before"), F.max("bucket").over(Window.partitionBy()).alias("last"))
-    firsts = firsts.select(F.col("first_id"), F.col("bucket").alias("own"), F.coalesce("before", "last").alias("to"))
-    at = base.join(broadcast_below(firsts, MOST_BUCKETS), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    extra = at.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
-    rows = base.select("doc_id", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra)
-    order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
+    """slice, part, doc_id, text, next_text, extra: docs in buckets (slice, part) of neighbouring doc_ids. Each bucket also has,
+    as extra rows behind its own, the first document of the next bucket (of the last bucket: of the first), so next_text is
+    known inside the bucket. Rows that repeat a doc_id follow each other in the order of their texts; null doc_ids come first."""
+    of, part = _buckets(docs)
+    base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), of.alias("slice"), part.alias("part"))
+    # One row a bucket, ordered within its slice; then one row a slice, RANGES at most, ordered in one task.
+    firsts = base.groupBy("slice", "part").agg(F.min("doc_id").alias("first_id"))
+    firsts = firsts.withColumn("before", F.lag("part").over(Window.partitionBy("slice").orderBy("part")))
+    slices = base.groupBy("slice").agg(F.max("part").alias("last_part"))
+    ordered, every = Window.orderBy("slice"), Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(F.col("slice").alias("s"), F.col("last_part").alias("p"))
+    slices = slices.select(F.col("slice").alias("of"), F.coalesce(F.lag(own).over(ordered), F.last(own).over(every)).alias("to"))
+    firsts = firsts.join(F.broadcast(slices), F.col("slice") == F.col("of"))
+    firsts = firsts.select(F.col("first_id"), F.col("slice").alias("own_slice"), F.col("part").alias("own_part"), F.when(F.col("before").isNull(), F.col("to.s")).otherwise(F.col("slice")).alias("to_slice"), F.coalesce("before", "to.p").alias("to_part"))
+    same = (F.col("slice") == F.col("own_slice")) & (F.col("part") == F.col("own_part")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    at = base.join(broadcast_below(firsts, MOST_BUCKETS), same)
+    extra = at.select("doc_id", "text", F.col("to_slice").alias("slice"), F.col("to_part").alias("part"), F.lit(True).alias("extra"))
+    rows = base.select("doc_id", "text", "slice", "part", F.lit(False).alias("extra")).unionByName(extra)
+    order = Window.partitionBy("slice", "part").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
     return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
 
 
@@ -123,10 +150,10 @@ def compare(docs: DataFrame) -> DataFrame:
     # Of the extra rows only the fingerprint is of use.
     rows = rows.withColumn("edited", F.when(~F.col("extra"), F.coalesce(edited, F.col("text"))))
     rows = rows.select(
-        "bucket", "place", "extra", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "slice", "part", "place", "extra", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), F.when(~F.col("extra"), fingerprint(F.col("edited"))).alias("edited_fingerprint"),
     )
-    order = Window.partitionBy("bucket").orderBy("place")
+    order = Window.partitionBy("slice", "part").orderBy("place")
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where(~F.col("extra"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
