@@ -311,12 +311,15 @@ def near_duplicates(docs: DataFrame, size: int, per_cent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps its smallest doc_id; of rows that repeat that doc_id the
-    one with the smallest text stays if the texts have shingles."""
+    one with the smallest text stays (null first). Rows without a doc_id stay."""
     found = near_duplicates(docs, size, per_cent)
     gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     left = docs.join(broadcast_below(gone, MOST_BROADCAST), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
     twice = broadcast_below(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")), MOST_BROADCAST)
     if twice.isEmpty():
         return left
-    again = left.join(twice, F.col("doc_id").cast("long") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"])
+    again = left.join(twice, F.col("doc_id").cast("long") == F.col("twice_id"), "left_semi")
+    # Partial aggregation, so a doc_id with many rows costs one row a task. Of equal texts a hash of the whole row decides.
+    low = F.min_by(F.struct(*again.columns), F.struct(F.col("text"), F.xxhash64(*again.columns)))
+    again = again.groupBy("doc_id").agg(low.alias("row")).select("row.*")
     return left.join(twice, F.col("doc_id").cast("long") == F.col("twice_id"), "left_anti").unionByName(again)
