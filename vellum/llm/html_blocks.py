@@ -1,23 +1,28 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into blocks: the text between block-level tags, inline markup dissolved. Each block becomes a vector (its tag
-path with classes and ids, hashed; its words, hashed; its length, its share of link text, its place). A bidirectional LSTM
-in numpy reads the vectors of the whole page in order, forwards and backwards, so every block is labelled in the context
-of the whole document: main text or not. The main text is the main blocks, in page order.
+path with classes and ids, hashed; all its words, hashed; its length, its share of link text, its place). A bidirectional
+LSTM in numpy reads the vectors of the whole page in order, forwards and backwards, so every block is labelled in the
+context of the whole document: main text or not. The main text is the main blocks, in page order.
 
-The network is trained here, once a process, on pages that a seeded rule makes: articles in several common skeletons
-(article, main, content divs, tables) among menus, headers, footers, sidebars, notices, adverts, forms and comments. Its
-weights have a fixed size. Scripts, styles, templates, comments and the head are no blocks at all.
+The weights lie beside this module (`html_weights.npz`, of a fixed size); `train_html` made them, from pages of many
+skeletons that a seeded rule writes. Scripts, styles, comments and the head are no blocks at all.
+
+Reading a page takes time in proportion to its length, whatever it holds: each character is looked at a bounded number of
+times, open elements are counted between fences rather than searched, and a block's path is a set of bits that grows with
+the element, not a list that is walked.
 """
 
 from __future__ import annotations
 
 import functools
 import html
-import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,12 @@ from pyspark.sql import DataFrame
 
 from vellum.llm.common import by_batch
 
-#: Comments, elements whose content is no text, other tags.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|title|textarea|select|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"[\"'>]")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Elements whose content is no text: up to their end tag, or the page's end; those of the second row only if they have an end tag.
+RAW = frozenset("script style title textarea".split())
+HIDDEN_TEXT = frozenset("template noscript svg select iframe object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another one ends.
@@ -41,19 +45,98 @@ FENCES = frozenset("html body article main section div nav header footer aside t
 #: Block-level elements whose start ends an open paragraph.
 BREAKS = FENCES | frozenset("p h1 h2 h3 h4 h5 h6 pre hr dl fieldset figure address".split())
 
-PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 16
-DIM = PATH_DIM + WORD_DIM + 6
-#: Words of a short block that are looked at ("Share", "Leave a comment"); long blocks tell by their tags and length.
-WORDS = 6
+PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 128, 64, 9, 20
+DIM = PATH_DIM + WORD_DIM + NUMBERS
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
+
+
+class Block(NamedTuple):
+    text: str
+    #: Hashed tags, classes, ids and roles of the elements around it, and its own element's tag once more.
+    path: int
+    depth: int
+    #: Characters of link text.
+    links: int
+
+
+class Tag(NamedTuple):
+    begin: int
+    end: int
+    name: str
+    closing: bool
+    attributes: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Tags of a page, and comments, declarations and hidden elements as tags without a name. A `<` that begins none of
+    them is text. A quote that is never closed is an ordinary character; a tag that only ends inside its quotes ends at its
+    first `>`."""
+    at, last = 0, page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    no_end = set()  # elements without a further end tag
+    dead = set()  # places outside of quotes from which no tag ends
+    while (lt := page.find("<", at)) >= 0 and lt < last:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            yield Tag(lt, at, "", False, "")
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            at = page.find(">", lt) + 1
+            yield Tag(lt, at, "", False, "")
+            continue
+        closing = page.startswith("/", lt + 1)
+        name = NAME.match(page, lt + 1 + closing)
+        if not name:
+            at = lt + 1
+            continue
+        here, seen, end = name.end(), [], -1
+        while (stop := STOP.search(page, here)) and stop.start() not in dead:
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            seen.append(stop.start())
+            here = stop.end() if stop.start() >= last_quote[stop[0]] else page.find(stop[0], stop.end()) + 1
+        if end < 0:
+            dead.update(seen)
+            end = page.find(">", name.end())
+        at, tag = end + 1, name[0].lower()
+        attributes = page[name.end() : end]
+        if not closing and tag in RAW | HIDDEN_TEXT and not (tag == "svg" and attributes.endswith("/")) and tag not in no_end:
+            stop = _end_tag(tag).search(page, at)
+            if not stop:
+                no_end.add(tag)
+            if stop or tag in RAW:
+                at = stop.end() if stop else len(page)
+                yield Tag(lt, at, "", False, "")
+                continue
+        yield Tag(lt, at, tag, closing, attributes)
+
+
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.IGNORECASE)
+
+
+@functools.lru_cache(maxsize=65536)
+def _bucket(word: str, size: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % size
+
+
+@functools.lru_cache(maxsize=4096)
+def _bits(tag: str, attributes: str) -> int:
+    named = [w.lower() for x in NAMED.finditer(attributes) for w in re.findall(r"[A-Za-z]+", x[1] or x[2] or x[3] or "")]
+    return sum(1 << k for k in {_bucket(w, PATH_DIM) for w in (tag, *named)})
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, tag path, characters of link text) of each block that has text; character references decoded, white space
-    inside a block turned into one space."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    path: list[tuple[str, str]] = []  # (tag, shown)
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text; character references decoded, white space inside a block turned into one space."""
+    out: list[Block] = []
+    path: list[tuple[str, int]] = []  # (tag, bits of the path so far)
+    open_: list[Counter] = [Counter()]  # open elements since each fence
+    every: Counter = Counter()
     held: list[str] = []
-    links, in_link, at = 0, 0, 0
+    links, in_link, at, in_head = 0, 0, 0, False
 
     def end_block() -> None:
         nonlocal links
@@ -61,91 +144,94 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, tuple(shown for _, shown in path), links))
+                bits = path[-1][1] | 1 << _bucket("leaf " + path[-1][0], PATH_DIM) if path else 0
+                out.append(Block(text, bits, len(path), links))
         links = 0
 
-    def close(tags: tuple[str, ...]) -> None:
-        for k in range(len(path) - 1, -1, -1):
-            if path[k][0] in tags:
-                end_block()
-                del path[k:]
-                return
-            if path[k][0] in FENCES:
-                return
-
-    in_head = False
-    for m in MARKUP.finditer(page):
-        if m.start() > at and not in_head:
-            held.append(page[at : m.start()])
+    def push(tag: str, attributes: str) -> None:
+        path.append((tag, (path[-1][1] if path else 0) | _bits(tag, attributes[:1000])))
+        every[tag] += 1
+        if tag in FENCES:
+            open_.append(Counter())
+        else:
+            open_[-1][tag] += 1
+
+    def pop() -> str:
+        tag, _ = path.pop()
+        every[tag] -= 1
+        if tag in FENCES:
+            open_.pop()
+        else:
+            open_[-1][tag] -= 1
+        return tag
+
+    def close(names: tuple[str, ...]) -> None:
+        """Ends the innermost of these elements and all in it, unless a fence stands between."""
+        if any(open_[-1][n] for n in names):
+            end_block()
+            while pop() not in names:
+                pass
+
+    for tag in tags(page):
+        if tag.begin > at and not in_head:
+            held.append(page[at : tag.begin])
             links += in_link and len(held[-1])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+        at, name = tag.end, tag.name
+        if not name:
             continue
-        if tag == "head":
-            in_head = not m[2]
+        if name == "head":
+            in_head = not tag.closing
             continue
-        if tag == "body":
+        if name == "body":
             in_head = False
-        if tag in INLINE:
-            if tag == "a":
-                in_link = not m[2]
-            continue
-        if m[2]:
+        if name in INLINE:
+            if name == "a":
+                in_link = not tag.closing
+        elif tag.closing:
             end_block()
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == tag:
-                    del path[k:]
-                    break
-                if path[k][0] in FENCES and tag not in FENCES:
-                    break
+            if name not in FENCES:
+                close((name,))
+            elif every[name]:
+                while pop() != name:
+                    pass
             in_link = 0
         else:
             end_block()
-            if tag in VOID:
+            if name in VOID:
                 continue
-            if tag in ENDS:
-                close(ENDS[tag])
-            elif tag in BREAKS:
+            if name in ENDS:
+                close(ENDS[name])
+            elif name in BREAKS:
                 close(("p",))
-            if m[4].rstrip().endswith("/") and tag not in FENCES:
-                continue
-            named = " ".join(w.lower() for x in NAMED.finditer(m[4]) for w in re.findall(r"[A-Za-z]+", x[1] or x[2] or x[3] or ""))
-            path.append((tag, f"{tag} {named}".strip()))
+            if not (tag.attributes.endswith("/") and name not in FENCES):
+                push(name, tag.attributes)
     if not in_head and at < len(page):
         held.append(page[at:])
     end_block()
     return out
 
 
-@functools.lru_cache(maxsize=65536)
-def _bucket(word: str, size: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % size
-
-
-@functools.lru_cache(maxsize=4096)
-def _path_places(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(sorted({_bucket(w, PATH_DIM) for shown in path for w in shown.split()} | {_bucket("leaf " + path[-1].split()[0], PATH_DIM)} if path else ()))
-
-
-def vectors(found: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def vectors(found: list[Block]) -> np.ndarray:
     """One row of DIM numbers to a block."""
     n = len(found)
     x = np.zeros((n, DIM), dtype=np.float32)
-    flat: list[int] = []
-    numbers: list[tuple[int, int, bool, int]] = []
-    words_at: list[int] = []
-    for k, (text, path, links) in enumerate(found):
-        base = k * DIM
-        flat += [base + c for c in _path_places(path)]
-        words_at += [base + PATH_DIM + _bucket(w, WORD_DIM) for w in text.lower().split(" ", WORDS)[:WORDS]] if len(text) < 64 else ()
-        numbers.append((len(text), links, "." in text or "!" in text or "?" in text, len(path)))
-    every = x.reshape(-1)
-    every[flat] = 1
-    every[words_at] = 1
-    if n:
-        c = np.array(numbers, dtype=np.float32)
-        x[:, -6:] = np.stack([np.minimum(np.log1p(c[:, 0]) / 8, 1.5), c[:, 1] / c[:, 0], c[:, 2], np.arange(n) / n, np.arange(n) == 0, c[:, 3] / 8], 1)
+    if not n:
+        return x
+    raw = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIM // 8, "little") for b in found), dtype=np.uint8).reshape(n, -1)
+    x[:, :PATH_DIM] = np.unpackbits(raw, axis=1, bitorder="little")
+    words = [b.text.lower().split() for b in found]
+    sizes = np.array([len(w) for w in words])
+    at = np.fromiter((_bucket(w, WORD_DIM) for own in words for w in own), dtype=np.int64, count=int(sizes.sum()))
+    counts = np.bincount(np.repeat(np.arange(n) * WORD_DIM, sizes) + at, minlength=n * WORD_DIM).reshape(n, WORD_DIM)
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(counts / sizes[:, None])
+    size = np.array([len(b.text) for b in found], dtype=np.float32)
+    place = np.arange(n)
+    x[:, -NUMBERS:] = np.stack(
+        [
+            np.minimum(np.log1p(size) / 8, 1.5), np.array([b.links for b in found]) / size, [any(c in b.text for c in ".!?") for b in found], place / n, place == 0,
+            np.minimum(np.array([b.depth for b in found]) / 8, 2), size / size.max(), [b.text[-1] in ".!?" for b in found], [any(c in b.text for c in "\u00a9|\u00bb") for b in found],
+        ], 1
+    )
     return x
 
 
@@ -158,8 +244,8 @@ class Labeller:
         self.w = {f"{d}{n}": v for d in "fb" for n, v in (("x", scale(DIM, 4 * HIDDEN)), ("h", scale(HIDDEN, 4 * HIDDEN)), ("c", np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN)))}
         self.w |= {"o": scale(2 * HIDDEN + DIM), "a": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: pages x blocks x DIM; where mask is 0 the state stays."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """x: pages x blocks x DIM; where mask is 0 the state stays. keep: what gradients need, step by step."""
         n, steps, _ = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         pre = x @ self.w[f"{d}x"] + self.w[f"{d}c"]
@@ -172,18 +258,19 @@ class Labeller:
             m = mask[:, t, None]
             new_c = f * c + i * u
             tc = np.tanh(new_c)
-            kept.append((t, h, c, i, f, o, u, tc, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, u, tc, m))
             h, c = np.where(m > 0, o * tc, h), np.where(m > 0, new_c, c)
             hs[:, t] = h
         return hs, kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (hf, kf), (hb, kb) = self._run(x, mask, "f"), self._run(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        (hf, kf), (hb, kb) = self._run(x, mask, "f", keep), self._run(x, mask, "b", keep)
         z = np.concatenate([hf, hb, x], 2)
         return 1 / (1 + np.exp(-np.clip(z @ self.w["o"] + self.w["a"][0], -30, 30))), (z, kf, kb)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, (z, kf, kb) = self.forward(x, mask)
+        p, (z, kf, kb) = self.forward(x, mask, keep=True)
         total = max(1.0, float(mask.sum()))
         loss = -float((mask * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum()) / total
         dz = ((p - y) * mask / total).astype(np.float32)
@@ -232,107 +319,44 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def made_page(r: random.Random) -> tuple[list[tuple[str, tuple[str, ...], int]], list[int]]:
-    """A training page: its blocks and their labels. Its words are random letters, so none of them gives a label away."""
-    word = lambda: "".join(r.choice("aeioubcdfghlmnprstvwz") for _ in range(r.randint(2, 9)))
-    line = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    sentence = lambda a, b: " ".join(line(4, 14).capitalize() + r.choice(("", ".", ".", "!")) for _ in range(r.randint(a, b)))
-    main, rest = [], {}
-
-    def menu() -> str:
-        items = "".join(f'<li><a href="/{word()}">{line(1, 3)}</a></li>' for _ in range(r.randint(2, 9)))
-        return f"<ul>{items}</ul>" if r.random() < 0.8 else items.replace("<li>", "").replace("</li>", " ")
-
-    def mark(text: str) -> str:
-        main.append(" ".join(text.split()))
-        return text
-
-    def paragraph() -> str:
-        k = r.random()
-        if k < 0.55:
-            return f"<p>{mark(sentence(1, 5))}</p>"
-        if k < 0.65:
-            return f"<p><b>{mark(sentence(1, 4))}<br>"
-        if k < 0.72:
-            return f"<h{(n := r.randint(2, 4))}>{mark(line(2, 8))}</h{n}>"
-        if k < 0.8:
-            return "<ul>" + "".join(f"<li>{mark(line(2, 12))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if k < 0.86:
-            return f"<blockquote><p>{mark(sentence(1, 2))}</p></blockquote>"
-        if k < 0.92:
-            return f"<pre>{mark(sentence(1, 2))}</pre>"
-        return "<table><tr>" + "".join(f"<td>{mark(line(1, 4))}</td>" for _ in range(r.randint(2, 5))) + "</tr></table>"
-
-    head = f"<h1>{mark(line(2, 10))}</h1>" if r.random() < 0.85 else ""
-    body = head + "".join(paragraph() for _ in range(r.choice((0, 1, 1, 2, 3, 5, 8, 12))))
-    if not main:
-        body = f"<p>{mark(sentence(1, 3))}</p>"
-    if r.random() < 0.25:
-        at = body.rfind("</p>")
-        body = body[: at + 4] + f'<div class="{r.choice(("ad", "promo", "advert banner", "share social", "related"))}">{sentence(1, 2)}</div>' + body[at + 4 :] if at > 0 else body
-    wrap = r.choice(("<article>{}</article>",) * 4 + ("<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post entry">{}</div></div>', '<div class="article body">{}</div>', '<section class="story">{}</section>'))
-    rest["nav"] = r.choice((f"<nav>{menu()}</nav>", f'<div class="menu">{menu()}</div>', f"<nav>{menu()}</nav>"))
-    rest["header"] = r.choice((f"<header><h1>{line(1, 4)}</h1><p>{line(3, 8)}</p></header>", f'<div class="header"><h2>{line(1, 4)}</h2></div>', f"<header>{line(1, 5)}</header>"))
-    rest["ad"] = f'<div class="{r.choice(("ad", "ad", "advert", "banner", "sponsored", "promo"))}">{sentence(1, 3)}</div>'
-    rest["notice"] = f'<div class="{r.choice(("cookie notice", "cookie", "notice", "consent", "newsletter", "popup"))}" role="alert"><p>{sentence(1, 3)}</p></div>'
-    rest["aside"] = r.choice((f"<aside><h3>{line(1, 3)}</h3>{menu()}</aside>", f"<aside><p>{sentence(1, 4)}</p></aside>", f'<div class="sidebar"><p>{sentence(1, 3)}</p>{menu()}</div>'))
-    rest["form"] = f'<form action="/x"><label>{line(1, 3)}</label><input name="q"><p>{line(2, 6)}</p><button>{word()}</button></form>'
-    rest["comments"] = r.choice((f'<section class="comments"><h3>{line(1, 3)}</h3>', '<div id="comments">', '<ol class="comment list">')) + "".join(f'<div class="comment"><p>{sentence(1, 4)}</p></div>' for _ in range(r.randint(1, 6))) + "</div>"
-    rest["footer"] = r.choice((f"<footer>&copy; {word()}.example.com &middot; {sentence(1, 3)}</footer>", f'<footer><p>{sentence(1, 2)}</p>{menu()}</footer>', f'<div class="footer">{sentence(1, 2)}</div>'))
-    has = lambda p: r.random() < p
-    before = [rest[k] for k, p in (("header", 0.35), ("nav", 0.8), ("notice", 0.25), ("ad", 0.5), ("aside", 0.15), ("form", 0.15)) if has(p)]
-    after = [rest[k] for k, p in (("ad", 0.15), ("comments", 0.3), ("aside", 0.3), ("form", 0.2), ("nav", 0.1), ("footer", 0.85)) if has(p)]
-    page = "<html><head><title>t</title></head><body>" + "".join(before) + wrap.format(body) + "".join(after) + "</body></html>"
-    found, left, labels = blocks(page), list(main), []
-    for text, _, _ in found:  # the main blocks come in order
-        hit = bool(left) and text == left[0]
-        labels.append(int(hit))
-        if hit:
-            left.pop(0)
-    return found, labels
+def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(pages), max(map(len, pages)), DIM), np.float32)
+    mask = np.zeros(x.shape[:2], np.float32)
+    for k, p in enumerate(pages):
+        x[k, : len(p)] = p
+        mask[k, : len(p)] = 1
+    return x, mask
 
 
 @functools.cache
-def trained(seed: int = 5, steps: int = 140, pages: int = 24) -> Labeller:
-    """The labeller, fitted by Adam on made pages; the same weights every time."""
-    r, net = random.Random(seed), Labeller()
-    m = {k: np.zeros_like(v) for k, v in net.w.items()}
-    v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    for step in range(1, steps + 1):
-        made = [made_page(r) for _ in range(pages)]
-        x, mask = padded([vectors(found) for found, _ in made])
-        # Words and some path parts go missing now and then, so that no single one decides.
-        x[:, :, PATH_DIM : PATH_DIM + WORD_DIM] *= r.random() < 0.5
-        y = np.zeros(mask.shape, np.float32)
-        for k, (_, labels) in enumerate(made):
-            y[k, : len(labels)] = labels
-        _, g = net.gradients(x, mask, y)
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k in net.w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            net.w[k] = (net.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+def trained() -> Labeller:
+    """The labeller with the weights that `train_html` stored."""
+    net = Labeller()
+    with np.load(WEIGHTS) as stored:
+        net.w = {k: stored[k] for k in stored.files}
     return net
 
 
 def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
     found = [blocks(p or "") for p in pages]
     chances = net.probabilities([vectors(b) for b in found])
-    return [" ".join(text for (text, _, _), p in zip(b, chance) if p >= 0.5) for b, chance in zip(found, chances)]
+    return [" ".join(x.text for x, p in zip(b, chance) if p >= 0.5) for b, chance in zip(found, chances)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html; other columns are left out). Null or empty html
-    and pages without main blocks have the empty text; a null url stays; repeated rows are read each. No shuffle."""
-    net = pages.sparkSession.sparkContext.broadcast(trained().w)  # of a fixed size
+    and pages without main blocks have the empty text; a null url stays; repeated rows are read each; an empty table gives
+    an empty one. No shuffle."""
+    weights = pages.sparkSession.sparkContext.broadcast(trained().w)  # of a fixed size
     kind = dict(pages.dtypes)["page_id"]
-    made: list[Labeller] = []
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Labeller())
-            made[0].w = net.value
-        texts = main_texts(batch.column(2).to_pylist(), made[0])
+    def run(net: Labeller, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = main_texts(batch.column(2).to_pylist(), net)
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.large_string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return by_batch(pages.select("page_id", "url", "html"), run, f"page_id {kind}, url string, text string, n_chars long")
+    def make() -> Labeller:
+        net = Labeller()
+        net.w = weights.value
+        return net
+
+    return by_batch(pages.select("page_id", "url", "html"), run, f"page_id {kind}, url string, text string, n_chars long", rows=256, make=make)
