@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow, broadcast_below, by_batch, stored
+from vellum.llm.common import arrow, broadcast_below, by_batch, release, stored
 
 WIDTH, KGRAM = 50, 16
 SPAN = WIDTH - KGRAM + 1
@@ -39,6 +39,8 @@ SPAN = WIDTH - KGRAM + 1
 BLOCK = 1 << 20
 #: Rows up to which the list of documents whose phrases are fetched is broadcast.
 MOST_FETCHED = 300_000
+#: Bytes of text whose phrases are settled in one part (about a tenth as many bytes of hashes, held at once).
+PART_BYTES = 256 << 20
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
 _MASK48 = np.uint64((1 << 48) - 1)
 _ENTRY = np.dtype([("a0", "<u4"), ("a1", "<u2"), ("r0", "<u4"), ("r1", "<u2"), ("doc", "<u2")])
@@ -216,6 +218,7 @@ def _answers(packed: DataFrame, parts: int) -> DataFrame:
         if out:
             cols = list(zip(*out))
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.large_binary()), pa.array(cols[3], pa.large_binary())], ["bucket", "kind", "docs", "keys"])
+        release()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, list]] = [([], []), ([], [])]
@@ -232,7 +235,8 @@ def _answers(packed: DataFrame, parts: int) -> DataFrame:
             for low, high in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
                 of.setdefault(int(ids[low]), [None, None])[kind] = raw[low:high].tobytes()
         if of:
-            yield pa.record_batch([pa.array(list(of), pa.int64()), pa.array([x[OLD] for x in of.values()], pa.large_binary()), pa.array([x[WANTED] for x in of.values()], pa.large_binary())], ["doc_id", "old", "wanted"])
+            yield pa.record_batch([pa.array(list(of), pa.int64()), *(pa.array([x[kind] for x in of.values()], pa.large_binary()) for kind in (OLD, WANTED))], ["doc_id", "old", "wanted"])
+        release()
 
     answers = packed.repartitionById(parts, "part").mapInArrow(run, "bucket int, kind byte, docs binary, keys binary")
     return answers.repartitionById(parts, "bucket").mapInArrow(unpack, "doc_id long, old binary, wanted binary")
@@ -346,8 +350,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     remove nothing from each other. Rows without a doc_id stay whole and remove nothing. An empty table gives an empty one."""
     spark = docs.sparkSession
     arrow(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     known = texts.where(F.col("doc_id").isNotNull())
     answers = stored(_answers(_packed(known, parts), parts), "phrases")
     strings = stored(_old_strings(_fetched(known, answers)), "strings")
