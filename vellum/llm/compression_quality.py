@@ -143,7 +143,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fit_chars: int = FIT_CHARS) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= 0.5) of every row of docs."""
+    """doc_id, held_out, score, predicted (1 if score >= 0.5) of every row of docs (other columns are left out). A null doc_id isn't
+    held out; null and empty texts have the score of an empty text; a doc_id with labels of both classes counts for both;
+    without rows of both classes every text scores the share of label 1."""
     scored = score(docs, fit(docs, labels, per_class, fit_chars))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
