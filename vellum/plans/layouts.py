@@ -84,13 +84,13 @@ def oriented_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.oriented_box(g, ["run"]).select("run", *(F.round(c, 6).alias(c) for c in ("along0", "along1", "across0", "across1")))
 
 
-@query("""WITH w AS (SELECT l_suppkey AS page, l_partkey % 5 AS line, l_orderkey * 8 + l_linenumber AS word, l_quantity * 10 + l_linenumber * 600 AS l, l_quantity * 10 + l_linenumber * 600 + 20 AS r, l_returnflag AS t FROM lineitem),
+@query("""WITH w AS (SELECT l_suppkey AS page, l_partkey % 5 AS line, (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS word, l_quantity * 10 + l_linenumber * 600 AS l, l_quantity * 10 + l_linenumber * 600 + 20 AS r, l_returnflag AS t FROM lineitem),
     f AS (SELECT *, l - max(r) OVER (PARTITION BY page, line ORDER BY l, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 15 AS n FROM w),
     k AS (SELECT *, sum(coalesce(n, false)::INT) OVER (PARTITION BY page, line ORDER BY l, word ROWS UNBOUNDED PRECEDING) AS fragment FROM f)
     SELECT page, line, CAST(fragment AS BIGINT) AS fragment, min(l) AS "left", max(r) AS "right", count(*) AS n_words, string_agg(t, ' ' ORDER BY l, word) AS text FROM k GROUP BY page, line, fragment""")
 def line_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LAY-01: words (line items) of lines parted at wide gaps."""
-    w = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS page", "l_partkey % 5 AS line", "l_orderkey * 8 + l_linenumber AS word", "l_quantity * 10 + l_linenumber * 600 AS left", "l_quantity * 10 + l_linenumber * 600 + 20 AS right", "10.0D AS size", "l_returnflag AS text")
+    w = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS page", "l_partkey % 5 AS line", "(l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS word", "l_quantity * 10 + l_linenumber * 600 AS left", "l_quantity * 10 + l_linenumber * 600 + 20 AS right", "10.0D AS size", "l_returnflag AS text")
     return layout.fragments(w, ["page"]).withColumn("fragment", F.col("fragment").cast("long"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,8 +200,6 @@ _GLYPHS = [("A", "A"), ("eacute", "é"), ("f_i", "fi"), ("uni00410042", "AB"), (
 @query("SELECT p_partkey, [" + ", ".join(f"'{n}'" for n, _ in _GLYPHS) + "][p_partkey % 10 + 1] AS name, [" + ", ".join("NULL" if t is None else f"'{t}'" for _, t in _GLYPHS) + "][p_partkey % 10 + 1] AS text FROM part")
 def glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-12: glyph names, by part key, and what they stand for."""
-    import pandas as pd
-
     from vellum.functions.content import glyph_text
 
     @F.pandas_udf("string")
