@@ -197,3 +197,33 @@ def match_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(folded(F.col("line")).contains("the"))
     return lines.select("doc_id", "line_no", F.lit(50).alias("left"), (50 + 5 * F.length("line")).alias("right"))
+
+
+@query("""SELECT p_partkey // 20 AS page, p_partkey, CAST(dense_rank() OVER (PARTITION BY p_partkey // 20 ORDER BY CASE WHEN p_partkey % 20 = 0 THEN 0 WHEN p_partkey % 20 < 10 THEN 1 ELSE 2 END) - 1 AS INT) AS block FROM part""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY-04: twenty parts a page: a heading over two columns of lines; blocks in reading order."""
+    from vellum.operators import blocks
+
+    k = F.col("p_partkey") % 20
+    row = F.when(k < 10, k).otherwise(k - 9)
+    rows = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 20).alias("page"), "p_partkey", F.when(k < 10, 50.0).otherwise(320.0).alias("left"), F.when(k == 0, 560.0).when(k < 10, 290.0).otherwise(560.0).alias("right"),
+        F.when(k == 0, 790.0).otherwise(760.0 - 12.0 * row).alias("bottom"), F.when(k == 0, 806.0).otherwise(770.0 - 12.0 * row).alias("top"),
+    )
+    return blocks.blocks(rows, ["page"], line_gap=2.0, height=10.0).select("page", "p_partkey", F.col("block").cast("int").alias("block"))
+
+
+_ITEMS = [("1.", 50.0), ("text", 50.0), ("2.", 50.0), ("(a)", 70.0), ("(b)", 70.0), ("3.", 50.0), ("•", 50.0), ("i)", 70.0), ("ii)", 70.0), ("word", 50.0)]
+
+
+@query("SELECT c_custkey // 10 AS page, c_custkey AS seq, l.list, l.level FROM customer JOIN (VALUES (0, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1), (5, 0, 0), (6, 2, 0), (7, 3, 1), (8, 3, 1)) l(k, list, level) ON c_custkey % 10 = l.k WHERE c_custkey // 10 > 0 AND c_custkey // 10 < (SELECT max(c_custkey) // 10 FROM customer)")
+def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY-11: ten lines a page (customers) with markers: a numbered list with a lettered one inside, a bullet with numerals inside;
+    whole pages."""
+    from vellum.operators import blocks
+
+    at = (F.col("c_custkey") % 10 + 1).cast("int")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    lines = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).alias("page"), F.col("c_custkey").alias("seq"), of([x for _, x in _ITEMS]).alias("left"), of([w for w, _ in _ITEMS]).alias("word"))
+    last = lines.agg(F.max("page")).first()[0] or 0
+    return blocks.lists(lines.where((F.col("page") > 0) & (F.col("page") < last)), ["page"], 10.0)
