@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -17,6 +18,10 @@ from vellum.llm import compression_quality, fingerprints, html_blocks, hyperminh
 WORDS = "the of and thin ondle, résumé Straße foo. bar baz qux! alpha beta gamma delta epsilon zeta eta theta".split()
 
 
+#: Letters with case, length or marks that libraries treat in their own ways, blanks of all kinds, marks, special strings.
+ODD = [*"aZéÉßẞİıǅΣςŉﬁÅ̇̈́가각ㄱ日😀\u200b\u200d\ufeff\u00ad�", *" \t\n\r\x0b\x0c\x85\xa0\u2003\u3000", *".,;:!?$%&*#'\"-_/\\<>|()", "'s", "'LL", "12", "the", "Foo", " bar", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "▁", "<0x41>"]
+
+
 def texts():
     r = np.random.default_rng(3)
     pick = lambda n: " ".join(r.choice(WORDS, n))
@@ -53,6 +58,25 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_ids_and_counts_of_any_characters(seed):
+    """op4's ids and op7's counts against the library, over texts of odd characters."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(seed)
+    made = ["İ!", "İ.", "aİ,b", *("".join(r.choice(ODD) for _ in range(r.randint(0, 30))) for _ in range(700))]
+    column = pa.array(made, pa.large_string())
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids, n = token_files.Encoder(P.path("word_bpe_49k.json")).encode(column)
+    for x, own in zip(made, np.split(ids, np.cumsum(n)[:-1])):
+        assert own.tolist() == [*words.encode(x, add_special_tokens=False).ids, token_files.END_ID], repr(x)
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [len(plain.encode(x, add_special_tokens=False).ids) for x in made]
+    for chunk, overlap in ((32768, 256), (12, 3)):
+        got = token_counts.Counter(P.path("byte_bpe_50k.json"), chunk, overlap).count(column)
+        assert got.tolist() == want, [x for x, a, b in zip(made, got, want) if a != b][:3]
+
+
 def test_token_counts_come_from_chunks():
     """Every part of a huge text is encoded, in chunks of bounded size that overlap, and the splices give the exact count."""
     counter = token_counts.Counter(P.path("byte_bpe_50k.json"), 300, 20)
@@ -265,12 +289,41 @@ def test_sampled_segmentations(docs):
     path = P.path("piece_bpe_32k.model")
     coder = lattice_sampling.Coder(path, 3)
     model, plain = coder.vocabulary.model, [x or "" for x in texts()]
-    for x, (ids, text, paths, logs, scores) in zip(plain, coder.run(pa.array(plain, pa.large_string()), list(range(len(plain))))):
-        assert ids.tolist() == model.encode(x) and text == x
-        assert all(model.decode([int(i) for i in p]) == x for p in paths) and len({tuple(p.tolist()) for p in paths}) == len(paths)
-        assert all(s <= 0 for s in scores)
+    coded = coder.run(pa.array(plain, pa.large_string()), list(range(len(plain))))
+    at = 0
+    for k, x in enumerate(plain):
+        ids = coded.ids[coded.cuts[k] : coded.cuts[k + 1]].tolist()
+        assert ids == model.encode(x) and coded.decoded[k].decode() == x == model.decode(ids)
+        paths = [coded.sampled[coded.sample_cuts[j] : coded.sample_cuts[j + 1]].tolist() for j in range(at, at + len(coded.logs[k]))]
+        assert all(model.decode(p) == x for p in paths) and len({*map(tuple, paths)}) == len(paths)
+        assert all(s <= 0 for s in coded.scores[k])
+        at += len(paths)
     got = lattice_sampling.encode(docs, path).collect()
     assert all(r["round_trip"] for r in got) and len(got) == len(plain)
+    for r in got:
+        ids, samples = lattice_sampling.unpacked(r["ids"]), [lattice_sampling.unpacked(p) for p in r["sample_ids"]]
+        assert len(ids) == r["n_pieces"] and [*map(len, samples)] == r["sample_pieces"] and len(samples) == r["n_samples"]
+        assert all(model.decode(p) == model.decode(ids) for p in samples)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_samples_of_a_row_do_not_depend_on_its_neighbours(seed):
+    """Also: texts of any characters are decoded as the library decodes them, ids that are no text included."""
+    r = random.Random(seed)
+    made = ["".join(r.choice(ODD) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    path = P.path("piece_bpe_32k.model")
+    whole = lattice_sampling.Coder(path).run(pa.array(made, pa.large_string()), list(range(300)))
+    model, at = lattice_sampling.vocabulary(path).model, 0
+    for k, x in enumerate(made):
+        own = lattice_sampling.Coder(path).run(pa.array([x], pa.large_string()), [k])
+        assert own.logs[0] == whole.logs[k] and own.scores[0] == whole.scores[k]
+        n = len(own.logs[0])
+        assert own.sampled.tolist() == whole.sampled[whole.sample_cuts[at] : whole.sample_cuts[at + n]].tolist()
+        assert own.ids.tolist() == model.encode(x) and own.decoded[0].decode() == model.decode(own.ids.tolist())
+        at += n
+    ids = [[r.randrange(model.get_piece_size()) for _ in range(r.randint(0, 9))] for _ in range(400)] + [[r.randrange(3, 259) for _ in range(r.randint(0, 9))] for _ in range(400)]
+    got = lattice_sampling.vocabulary(path).decode_all(np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, ids)]))
+    assert [x.decode() for x in got] == [model.decode(x) for x in ids]
 
 
 def test_sampling_law(monkeypatch):

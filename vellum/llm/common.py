@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,8 +62,8 @@ def arrow(spark: SparkSession) -> None:
 
 def release() -> None:
     """Gives memory that Python and Arrow no longer use back to the system. A Python worker outlives its task; without this,
-    what one operator's models took would stay beside the next operator's."""
-    gc.collect()
+    what one operator's models took would stay beside the next operator's. No search for cycles: models are freed by their
+    last reference, and a search costs more than a small task."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
         ctypes.CDLL(None).malloc_trim(0)
