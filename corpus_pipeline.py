@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import compression_quality, hyperminhash, lattice_sampling, secret_grammar, spaced_seeds
-from vellum.llm.common import stored
+from vellum.llm.common import give_back_heap, stored
 from vellum.llm.queries import tokenizer
 from vellum.session import table
 
@@ -35,7 +35,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and sampled segmentations of each document."""
+    """Piece ids and sampled segmentations of each document. Its Python workers are the pipeline's largest and come behind
+    stages that fill the JVM's heap."""
+    give_back_heap(spark)
     return lattice_sampling.encode(docs, tokenizer("piece_bpe_32k.model"))
 
 
