@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,8 +63,7 @@ def arrow(spark: SparkSession) -> None:
 
 def release() -> None:
     """Gives memory that Python and Arrow no longer use back to the system. A Python worker outlives its task; without this,
-    what one operator's models took would stay beside the next operator's. No search for cycles: models are freed by their
-    last reference, and a search costs more than a small task."""
+    what one operator's models took would stay beside the next operator's."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
         ctypes.CDLL(None).malloc_trim(0)
@@ -99,6 +99,8 @@ def by_batch(df: DataFrame, f: Callable, schema, rows: int = BATCH_ROWS, make: C
                         yield from out
         finally:
             batch = part = out = made = None
+            if make is not None:  # models may hold themselves; a search for such is dearer than a small task without one
+                gc.collect()
             release()
 
     return df.mapInArrow(run, schema)
