@@ -153,30 +153,34 @@ def headings(blocks: DataFrame, doc: str) -> DataFrame:
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells (row, col, col_span, text, bold) with is_header. Header rows are the leading ones, never the last, that have a filled
     spanning cell or are all bold over some plain cell; if there is none, the first row if it has letters and no number and some
-    column below has two filled cells or more, 60 % of them numbers."""
+    column below has two filled cells or more, 60 % of them numbers.
+
+    One shuffle by table and windows over it, no join: Spark takes exploded cells for as small as the rows they came from, and
+    would send them to the driver for a broadcast."""
     filled, number = F.col("text") != "", F.col("text").rlike("^[\\s(+-]*[$\u20ac\u00a3]?[\\d.,]+[%)]?\\s*$")
-    by_row = cells.groupBy(*keys, "row").agg(F.max(filled & (F.col("col_span") > 1)).alias("spans"), F.min(F.col("bold") | ~filled).alias("all_bold"), F.max(filled & ~F.col("bold")).alias("plain"), F.max(filled & F.col("text").rlike("\\p{L}")).alias("letters"), F.max(filled & number).alias("numbers"))
-    down = Window.partitionBy(*keys).orderBy("row")
-    below = F.max("plain").over(down.rowsBetween(1, Window.unboundedFollowing))
-    last = F.max("row").over(Window.partitionBy(*keys))
-    by_row = by_row.withColumn("_may", (F.col("row") < last) & (F.col("spans") | (F.col("all_bold") & F.coalesce(below, F.lit(False)))))
-    by_row = by_row.withColumn("_leads", F.min("_may").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    by_row = by_row.withColumn("_any", F.max("_leads").over(Window.partitionBy(*keys)))
-    columns = cells.where("row > 0").groupBy(*keys, "col").agg(F.sum(filled.cast("int")).alias("n"), F.sum((filled & number).cast("int")).alias("k"))
-    numeric = columns.groupBy(*keys).agg(F.max((F.col("n") >= 2) & (F.col("k") >= 0.6 * F.col("n"))).alias("_numeric"))
-    by_row = by_row.withColumn("_last", last).join(numeric, keys, "left")
-    first = (F.col("row") == 0) & (F.col("row") < F.col("_last")) & F.col("letters") & ~F.col("numbers") & F.coalesce("_numeric", F.lit(False))
-    marks = by_row.select(*keys, "row", F.when(F.col("_any"), F.col("_leads")).otherwise(first).alias("is_header"))
-    return cells.join(marks, [*keys, "row"])
+    table, row, column = Window.partitionBy(*keys), Window.partitionBy(*keys, "row"), Window.partitionBy(*keys, "col")
+    down = table.orderBy("row")
+    marks = {"_spans": F.max(filled & (F.col("col_span") > 1)), "_bold": F.min(F.col("bold") | ~filled), "_plain": F.max(filled & ~F.col("bold")), "_letters": F.max(filled & F.col("text").rlike("\\p{L}")), "_numbers": F.max(filled & number)}
+    by_row = cells.repartition(*keys).withColumns({k: v.over(row) for k, v in marks.items()})
+    below = F.max("_plain").over(down.rangeBetween(1, Window.unboundedFollowing))
+    by_row = by_row.withColumns({"_below": below, "_last": F.max("row").over(table)})
+    by_row = by_row.withColumn("_may", (F.col("row") < F.col("_last")) & (F.col("_spans") | (F.col("_bold") & F.coalesce("_below", F.lit(False)))))
+    by_row = by_row.withColumn("_leads", F.min("_may").over(down.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_any", F.max("_leads").over(table))
+    inner = lambda what: F.sum(F.when(F.col("row") > 0, what.cast("int"))).over(column)
+    by_col = by_row.withColumns({"_n": inner(filled), "_k": inner(filled & number)})
+    by_col = by_col.withColumn("_numeric", F.max((F.col("_n") >= 2) & (F.col("_k") >= 0.6 * F.col("_n"))).over(table))
+    first = (F.col("row") == 0) & (F.col("row") < F.col("_last")) & F.col("_letters") & ~F.col("_numbers") & F.coalesce("_numeric", F.lit(False))
+    return by_col.select(*cells.columns, F.when(F.col("_any"), F.col("_leads")).otherwise(first).alias("is_header"))
 
 
 def cell_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, row, col, headers: of each data cell the texts of the filled header cells over its column, from the top."""
-    heads = cells.where("is_header and text <> ''").select(*keys, F.col("row").alias("h_row"), F.col("text").alias("h_text"), F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("col"))
-    data = cells.where("not is_header").select(*keys, "row", "col")
-    met = data.join(heads, [*keys, "col"], "left").where("h_row is null or h_row < row")
-    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("h_row").isNotNull(), F.struct("h_row", "h_text")))), lambda h: h["h_text"])
-    return met.groupBy(*keys, "row", "col").agg(texts.alias("headers"))
+    """keys, row, col, headers: of each data cell the texts of the filled header cells over its column, from the top. Header cells
+    are listed under the columns that they span, and each column is read downwards."""
+    under = F.when(F.col("is_header") & (F.col("text") != ""), F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).when(~F.col("is_header"), F.array("col"))
+    listed = cells.select(*keys, "row", "text", "is_header", F.explode(under).alias("col"))
+    above = Window.partitionBy(*keys, "col").orderBy("row").rangeBetween(Window.unboundedPreceding, -1)
+    heads = F.sort_array(F.collect_list(F.when(F.col("is_header"), F.struct("row", "text"))).over(above))
+    return listed.select(*keys, "row", "col", "is_header", F.transform(heads, lambda h: h["text"]).alias("headers")).where("not is_header").drop("is_header")
 
 
 def linked_tables(tables: DataFrame, doc: str, page: str) -> DataFrame:
