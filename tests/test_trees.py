@@ -3,6 +3,7 @@
 import pytest
 
 from vellum.operators import assembly, layout, lookups, trees
+from vellum.plans import registry
 
 
 def test_deep_trees_and_cycles(spark):
@@ -54,3 +55,18 @@ def test_lines_have_an_anchor(spark):
     df = spark.createDataFrame(glyphs, "page int, seq long, text string, x double, y double, advance double, size double")
     got = {r["seq"]: r["line"] for r in layout.numbered_lines(df, ["page"]).collect()}
     assert [got[k] for k in range(7)] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_lines_of_glyphs_without_joins(spark):
+    """Glyphs are exploded rows, which count as small as their table: a join would send them to the driver for a broadcast."""
+    for name in ("words_of_lines", "page_texts"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "BroadcastExchange" not in plan and plan.count("Exchange") == 1, name
+
+
+def test_lines_keep_all_columns_and_glyphs(spark):
+    glyphs = [(p, k, c, 5.0 * (k % 3), -14.0 * (k // 3), 5.0, 10.0, 2 * k) for p in (None, 1) for k, c in enumerate("abcdef")]
+    df = spark.createDataFrame(glyphs, "page int, seq long, text string, x double, y double, advance double, size double, flags int")
+    got = layout.numbered_lines(df, ["page"])
+    assert got.columns == [*df.columns, "line"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*g, g[1] // 3) for g in glyphs), key=repr)

@@ -46,19 +46,24 @@ def inside_crop(rows: DataFrame, left: Column, bottom: Column, right: Column, to
 def numbered_lines(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     """glyphs with line: a new one begins where a glyph's baseline is more than half an em off the one of its line's first glyph,
     or it starts more than an em before the end of the one before. What a line's first glyph is depends on all breaks before,
-    so a fold over the page's ordered glyphs decides; super- and subscripts stay on their line."""
-    fields = F.struct("seq", "x", "y", "advance", "size")
-    one = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("anchor"), F.lit(None).cast("double").alias("end"), F.array().cast("array<struct<seq:bigint,line:int>>").alias("out"))
+    so a fold over the page's ordered glyphs decides; super- and subscripts stay on their line.
+
+    Glyphs go through the fold whole: a join of them with their numbers would count as small as the table they came from, and
+    Spark would send it to the driver for a broadcast."""
+    first = ["seq", "x", "y", "advance", "size"]
+    rest = [c for c in glyphs.columns if c not in (*keys, *first)]
+    one = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("anchor"), F.lit(None).cast("double").alias("end"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, g: Column) -> Column:
         new = F.coalesce((F.abs(g["y"] - s["anchor"]) > g["size"] * LINE_OFF) | (g["x"] < s["end"] - g["size"] * BACKTRACK), F.lit(False))
         line = s["line"] + F.when(new, 1).otherwise(0)
         anchor = F.when(new | s["anchor"].isNull(), g["y"]).otherwise(s["anchor"])
-        return F.struct(line.alias("line"), anchor.alias("anchor"), (g["x"] + g["advance"]).alias("end"), F.concat(s["out"], F.array(F.struct(g["seq"].cast("long").alias("seq"), line.alias("line")))).alias("out"))
+        return F.struct(line.alias("line"), anchor.alias("anchor"), (g["x"] + g["advance"]).alias("end"), F.concat(s["out"], F.array(line)).alias("out"))
 
-    pages = glyphs.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("g"))
-    numbers = pages.select(*keys, F.explode(F.aggregate("g", one, step, lambda s: s["out"])).alias("n")).select(*keys, F.col("n.seq").alias("seq"), F.col("n.line").alias("line"))
-    return glyphs.join(numbers, [*keys, "seq"])
+    pages = glyphs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias("_g"))
+    numbers = pages.select(*keys, "_g", F.aggregate("_g", one, step, lambda s: s["out"]).alias("_line"))
+    out = numbers.select(*keys, F.explode(F.arrays_zip("_g", "_line")).alias("_z"))
+    return out.select(*[c if c in keys else F.col("_z._g")[c].alias(c) for c in glyphs.columns], F.col("_z._line").alias("line"))
 
 
 def words(glyphs: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
