@@ -1,5 +1,7 @@
 """Trees of any depth, cycles, unknown parents, roles, copies, renamed keys, labels of captions."""
 
+import math
+
 import pytest
 
 from vellum.operators import assembly, layout, lookups, trees
@@ -70,3 +72,14 @@ def test_lines_keep_all_columns_and_glyphs(spark):
     got = layout.numbered_lines(df, ["page"])
     assert got.columns == [*df.columns, "line"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*g, g[1] // 3) for g in glyphs), key=repr)
+
+
+def test_nearest_of_many_items_sorts_no_pairs(spark):
+    """A page's pairs go through hash tables: none of them is sorted, and the same box of many items counts once."""
+    items = [(k % 2, 100 - k, float(k % 7), float(k % 5), float(k % 7 + k % 3), float(k % 5)) for k in range(90)]
+    points = [(k, k % 3, k % 11 / 2, k % 13 / 2) for k in range(60)]
+    df = lookups.nearest(spark.createDataFrame(points, "p int, page int, x double, y double"), spark.createDataFrame(items, "page int, i int, left double, bottom double, right double, top double"), "page", "p", "i")
+    want = {p: min((math.hypot(max(x0 - x, x - x1, 0), max(y0 - y, y - y1, 0)), i) for g, i, x0, y0, x1, y1 in items if g == page) for p, page, x, y in points if page < 2}
+    assert {r["p"]: (round(r["distance"], 9), r["i"]) for r in df.collect()} == {p: (round(d, 9), i) for p, (d, i) in want.items()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any("struct" in x for x in plan.splitlines() if "SortAggregate" in x and "sqrt" in x.lower())

@@ -97,13 +97,19 @@ def transformed_box(left: Column, bottom: Column, right: Column, top: Column, m:
 
 def nearest(points: DataFrame, items: DataFrame, by: str, point_id: str, item_id: str) -> DataFrame:
     """point_id, item_id, distance: for each point (by, x, y) the item (by, left, bottom, right, top) of the same `by` (a page)
-    with the smallest distance from it, 0 inside; of equally near ones the smaller item_id. Partial aggregation; a page's
-    items are bounded by the page."""
-    met = points.select(by, point_id, "x", "y").join(items.select(by, item_id, "left", "bottom", "right", "top"), by)
+    with the smallest distance from it, 0 inside; of equally near ones the smaller item_id.
+
+    Items with the same box count once, with their smallest id. A first pass over the pairs of a page finds each point's
+    distance, a second one the smallest id at that distance: both keep one number a point in a hash table, where the least pair
+    of distance and id would sort all pairs."""
+    box = ["left", "bottom", "right", "top"]
+    boxes = items.groupBy(by, *box).agg(F.min(item_id).alias("_item"))
     dx = F.greatest(F.col("left") - F.col("x"), F.col("x") - F.col("right"), F.lit(0.0))
     dy = F.greatest(F.col("bottom") - F.col("y"), F.col("y") - F.col("top"), F.lit(0.0))
-    best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), F.col(item_id).alias("item")))
-    return met.groupBy(point_id).agg(best.alias("b")).select(point_id, F.col("b.item").alias(item_id), F.col("b.distance").alias("distance"))
+    distance, point = F.sqrt(dx * dx + dy * dy), [point_id, by, "x", "y"]
+    near = points.select(*point).repartition(point_id).join(boxes, by).groupBy(*point).agg(F.min(distance).alias("distance"))
+    found = near.join(boxes, by).where(distance == F.col("distance")).groupBy(*point, "distance").agg(F.min("_item").alias(item_id))
+    return found.groupBy(point_id).agg(F.min(F.struct("distance", item_id)).alias("b")).select(point_id, f"b.{item_id}", "b.distance")
 
 
 def first_by_key(entries: DataFrame, key: str, order: str) -> DataFrame:
