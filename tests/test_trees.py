@@ -83,3 +83,18 @@ def test_nearest_of_many_items_sorts_no_pairs(spark):
     assert {r["p"]: (round(r["distance"], 9), r["i"]) for r in df.collect()} == {p: (round(d, 9), i) for p, (d, i) in want.items()}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any("struct" in x for x in plan.splitlines() if "SortAggregate" in x and "sqrt" in x.lower())
+
+
+def test_equal_boxes_meet_once(spark):
+    """Copies of boxes and rectangles are compared once, and all their pairs are there."""
+    boxes = [(k, float(k % 6), float(k % 4), float(k % 6 + 3), float(k % 4 + 2)) for k in range(2500)]
+    rectangles = [(k, 2.0 * (k % 5), 3.0 * (k % 3), 2.0 * (k % 5) + 1, 3.0 * (k % 3) + 1) for k in range(90)]
+    a = spark.createDataFrame(boxes, "b int, left double, bottom double, right double, top double")
+    b = spark.createDataFrame(rectangles, "r int, r_left double, r_bottom double, r_right double, r_top double")
+    got = lookups.boxes_in_rectangles(a, b, 2.0)
+    assert got.columns == [*a.columns, *b.columns]
+    want = {(*x, *y) for x in boxes for y in rectangles if x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4]}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_a") < plan.index("Join Inner") and plan.count("collect_list") == 2

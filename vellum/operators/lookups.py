@@ -68,18 +68,39 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFra
 SIZES = 8
 
 
+#: So many rows with the same box go through a join as one; the boxes of a cell are dealt into so many parts.
+ALIKE, PARTS = 1024, 4
+
+
+def _alike(df: DataFrame, box: list[str], name: str) -> DataFrame:
+    """A row for each box and ALIKE of its rows at most, whose other columns stand in the array `name`."""
+    every = df.groupBy(*box).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in box])).alias("_rows"))
+    starts = F.sequence(F.lit(1), F.size("_rows"), F.lit(ALIKE))
+    return every.select(*box, F.explode(F.transform(starts, lambda k: F.slice("_rows", k, ALIKE))).alias(name))
+
+
 def boxes_in_rectangles(boxes: DataFrame, rectangles: DataFrame, cell: float) -> DataFrame:
     """All pairs of a box and a rectangle (r_left, r_bottom, r_right, r_top) that overlap, edges included: both are listed under
-    the cells that they touch, and a pair counts in the cell of its overlap's lower left corner alone."""
+    the cells that they touch, and a pair counts in the cell of its overlap's lower left corner alone.
+
+    Rows with equal boxes are compared once and paired afterwards. As the pairs may be far more than the rows, cells are dealt
+    over all partitions of a shuffle, however few bytes go in."""
+    spark = boxes.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     of = lambda c: F.floor(F.col(c) / cell)
+    sides = ["left", "bottom", "right", "top"]
 
-    def listed(df: DataFrame, pre: str) -> DataFrame:
-        return df.withColumn("_cx", F.explode(F.sequence(of(f"{pre}left"), of(f"{pre}right")))).withColumn("_cy", F.explode(F.sequence(of(f"{pre}bottom"), of(f"{pre}top"))))
+    def listed(df: DataFrame, pre: str, part: Column) -> DataFrame:
+        df = df.withColumn("_cx", F.explode(F.sequence(of(f"{pre}left"), of(f"{pre}right")))).withColumn("_cy", F.explode(F.sequence(of(f"{pre}bottom"), of(f"{pre}top"))))
+        return df.withColumn("_part", part).repartition(n, "_cx", "_cy", "_part")
 
-    met = listed(boxes, "").join(listed(rectangles, "r_"), ["_cx", "_cy"])
+    own = listed(_alike(boxes, sides, "_a"), "", F.pmod(F.xxhash64(*sides, "_a"), F.lit(PARTS)).cast("int"))
+    other = listed(_alike(rectangles, [f"r_{c}" for c in sides], "_b"), "r_", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = own.join(other.hint("merge"), ["_cx", "_cy", "_part"])
     met = met.where("left <= r_right and r_left <= right and bottom <= r_top and r_bottom <= top")
     first = (F.col("_cx") == F.floor(F.greatest("left", "r_left") / cell)) & (F.col("_cy") == F.floor(F.greatest("bottom", "r_bottom") / cell))
-    return met.where(first).drop("_cx", "_cy")
+    pairs = met.where(first).withColumn("_a", F.explode("_a")).withColumn("_b", F.explode("_b"))
+    return pairs.select(*(F.col(c) if c in sides else F.col("_a")[c].alias(c) for c in boxes.columns), *(F.col(c) if c[2:] in sides and c.startswith("r_") else F.col("_b")[c].alias(c) for c in rectangles.columns))
 
 
 def transformed(x: Column, y: Column, m: list) -> tuple[Column, Column]:
